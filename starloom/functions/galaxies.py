@@ -59,4 +59,5 @@ def plain_path(path: Column) -> Column:
         ),
     )
     root = F.when(text.startswith("/"), F.lit("/")).otherwise(F.lit(""))
-    return F.when(text.contains(".."), F.concat(root, F.array_join(resolved, "/"))).otherwise(flat)
+    usual = path.rlike(r"^(?:/[A-Za-z0-9_][^/\\\s]*)+$")  # already plain: nothing else needs to be looked at
+    return F.when(usual, path).when(text.contains(".."), F.concat(root, F.array_join(resolved, "/"))).otherwise(flat)

@@ -19,6 +19,7 @@ from starloom.plans.durable import durable
 
 WIDTH = 1 << 12
 SALTS = 64
+SAMPLED = 0.02  # part of the rows that a join looks at to find its heavy keys; a key missed costs time only, never rows
 
 
 def _cell(key: str, row: int) -> Column:
@@ -107,21 +108,24 @@ def skew_join(
 ) -> DataFrame:
     """Join rows with a table of few rows per key although a few keys hold most rows of the left side.
 
-    Left rows of heavy keys meet a broadcast of just those keys' right rows (at most 2/share keys by construction);
-    other rows are shuffled by key.  how: inner, left, left_semi or left_anti.  condition: a further SQL condition on
-    columns of both sides, whose names must differ but for the key.  A null key matches nothing.
+    Heavy keys are told from a sample of the left rows.  Their rows meet a broadcast of just those keys' right rows (at
+    most 2/share keys by construction); other rows are shuffled by key.  Without heavy keys it is one ordinary join.
+    how: inner, left, left_semi or left_anti.  condition: a further SQL condition on columns of both sides, whose names
+    must differ but for the key.  A null key matches nothing.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"how = {how!r}")
-    cells = heavy_cells(left.select(key, F.lit(1.0).alias("_one")), key, ["_one"], share)
-    heavy, light = split_by_weight(left, key, cells)
-    few, _ = split_by_weight(right, key, cells)
 
     def one(a: DataFrame, b: DataFrame) -> DataFrame:
         b = b.withColumnRenamed(key, "_right_key")
         on = F.expr("`" + key + "` = _right_key" + (f" and ({condition})" if condition else ""))
         return a.join(b, on, how).drop("_right_key")
 
+    cells = heavy_cells(left.sample(SAMPLED, seed=1).select(key, F.lit(1.0).alias("_one")), key, ["_one"], share)
+    if cells.isEmpty():
+        return one(left, right)
+    heavy, light = split_by_weight(left, key, cells)
+    few, _ = split_by_weight(right, key, cells)
     joined = one(heavy, F.broadcast(few)).unionByName(one(light, right))
     if how in ("left", "left_anti"):
         joined = joined.unionByName(left.filter(F.col(key).isNull()), allowMissingColumns=True)

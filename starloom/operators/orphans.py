@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.operators.heavy_keys import skew_join
+from starloom.operators.heavy_keys import SAMPLED, heavy_cells, skew_join, split_by_weight
 
 
 def null_masks(refs: DataFrame, keys: Sequence[str], match: str = "simple") -> list[tuple[tuple[str, ...], DataFrame]]:
@@ -82,24 +82,41 @@ def live_spells(files: DataFrame, keys: Sequence[str], start: str, end: str) ->
     )
 
 
+def _thinned(spells: DataFrame, key: str, start: str, end: str, share: float = 0.001) -> DataFrame:
+    """Registrations of keys with very many of them merged into spells; those of all other keys as they are."""
+    cells = heavy_cells(spells.sample(SAMPLED, seed=2).select(key, F.lit(1.0).alias("_one")), key, ["_one"], share)
+    if cells.isEmpty():
+        return spells
+    many, few = split_by_weight(spells, key, cells)
+    return few.unionByName(live_spells(many, [key], start, end))
+
+
 def dated_orphans(refs: DataFrame, files: DataFrame, keys: Sequence[str], at: str, start: str, end: str, match: str = "simple") -> DataFrame:
     """References whose key is not live at their own time, with reason deleted, late or missing.
 
     deleted: live earlier; late: registered only afterwards; missing: never registered.  A reference without a time can't
     be placed and is no orphan.  Null keys follow match (see null_masks).  Result: columns of refs and reason.
     """
-    spells = live_spells(files, keys, start, end)
+    forever = F.lit("9999-12-31 00:00:00").cast(files.schema[end].dataType)
     parts = []
     for filled, part in null_masks(refs.filter(F.col(at).isNotNull()), keys, match):
         if not filled:
             parts.append(part.withColumn("reason", F.lit("missing")))
             continue
-        known = spells.dropna(subset=list(filled)).select(F.struct(*filled).alias("_k"), "live_from", "live_to")
+        spells = (
+            files.dropna(subset=list(filled))
+            .select(F.struct(*filled).alias("_k"), F.col(start).alias("live_from"), F.coalesce(F.col(end), forever).alias("live_to"))
+            .filter("live_from is not null and live_to > live_from")
+        )
+        known = _thinned(spells, "_k", "live_from", "live_to")
         keyed = part.withColumn("_k", F.struct(*filled))
         orphans = skew_join(keyed, known, "_k", "left_anti", f"live_from <= `{at}` and `{at}` < live_to")
-        firsts = known.groupBy("_k").agg(F.min("live_from").alias("_first"))
+        # both ends are read, so that this and the join above share one exchange of the files
+        firsts = known.groupBy("_k").agg(F.min("live_from").alias("_first"), F.max("live_to").alias("_last"))
         placed = orphans.join(firsts, "_k", "left")
-        reason = F.when(F.col("_first").isNull(), "missing").when(F.col("_first") <= F.col(at), "deleted").otherwise("late")
+        reason = (
+            F.when(F.col("_first").isNull() | F.col("_last").isNull(), "missing").when(F.col("_first") <= F.col(at), "deleted").otherwise("late")
+        )
         parts.append(placed.select(*refs.columns, reason.alias("reason")))
     result = parts[0]
     for part in parts[1:]:
