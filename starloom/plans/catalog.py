@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from starloom.plans import catalog_queries, particle_queries, pipeline_queries
+from starloom.plans import catalog_queries, grid_queries, particle_queries, pipeline_queries, stats_queries, stream_queries
 from starloom.plans.registry import Registry
 
 
 def registries() -> list[Registry]:
-    return [pipeline_queries.registry, particle_queries.registry, catalog_queries.registry]
+    return [pipeline_queries.registry, particle_queries.registry, catalog_queries.registry, grid_queries.registry, stats_queries.registry, stream_queries.registry]
