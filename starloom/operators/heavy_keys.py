@@ -5,6 +5,8 @@ hold at least a given share of any measure: the true sum of a key never exceeds
 At most 1/share cells per row and measure can be heavy, which bounds what is broadcast whatever the input size.
 Heavy keys then go through a broadcast join with salted partial aggregation, all others through an ordinary shuffle, and
 the two results are united.
+
+Columns of the input keep their names and values whatever they are called; internal ones start with __sl_.
 """
 
 from __future__ import annotations
@@ -38,10 +40,10 @@ def heavy_cells(df: DataFrame, key: str, measures: Sequence[str], share: float)
     Measures must be non-negative; nulls add nothing.  An empty table has no heavy cells.
     """
     rows = F.explode(F.array(*(F.struct(F.lit(r).alias("sketch_row"), _cell(key, r).alias("cell")) for r in (0, 1))))
-    spread = df.select(rows.alias("_at"), F.col(key).isNotNull().alias("_keyed"), *measures)
-    sketch = spread.groupBy("_at.sketch_row", "_at.cell").agg(
+    spread = df.select(rows.alias("__sl_at"), F.col(key).isNotNull().alias("__sl_keyed"), *measures)
+    sketch = spread.groupBy("__sl_at.sketch_row", "__sl_at.cell").agg(
         *(F.sum(m).alias(f"all_{m}") for m in measures),
-        *(F.sum(F.when(F.col("_keyed"), F.col(m))).alias(f"sum_{m}") for m in measures),
+        *(F.sum(F.when(F.col("__sl_keyed"), F.col(m))).alias(f"sum_{m}") for m in measures),
     )
     whole = Window.partitionBy("sketch_row")  # WIDTH rows at most
     heavy = reduce(
@@ -54,15 +56,15 @@ def heavy_cells(df: DataFrame, key: str, measures: Sequence[str], share: float)
 
 def split_by_weight(df: DataFrame, key: str, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of candidate heavy keys, all other rows with a key), by broadcast joins with the bounded list of heavy cells."""
-    first = F.broadcast(cells.filter("sketch_row = 0").select(F.col("cell").alias("_c0"), F.lit(True).alias("_h0")))
-    second = F.broadcast(cells.filter("sketch_row = 1").select(F.col("cell").alias("_c1"), F.lit(True).alias("_h1")))
+    first = F.broadcast(cells.filter("sketch_row = 0").select(F.col("cell").alias("__sl_c0"), F.lit(True).alias("__sl_h0")))
+    second = F.broadcast(cells.filter("sketch_row = 1").select(F.col("cell").alias("__sl_c1"), F.lit(True).alias("__sl_h1")))
     marked = (
         df.filter(F.col(key).isNotNull())
-        .withColumns({"_c0": _cell(key, 0), "_c1": _cell(key, 1)})
-        .join(first, "_c0", "left")
-        .join(second, "_c1", "left")
+        .withColumns({"__sl_c0": _cell(key, 0), "__sl_c1": _cell(key, 1)})
+        .join(first, "__sl_c0", "left")
+        .join(second, "__sl_c1", "left")
     )
-    is_heavy = F.col("_h0").isNotNull() & F.col("_h1").isNotNull()
+    is_heavy = F.col("__sl_h0").isNotNull() & F.col("__sl_h1").isNotNull()
     return marked.filter(is_heavy).select(*df.columns), marked.filter(~is_heavy).select(*df.columns)
 
 
@@ -74,7 +76,7 @@ def heavy_totals(df: DataFrame, key: str, measures: Sequence[str], share: float)
     """
     cells = heavy_cells(df, key, measures, share)
     heavy, _ = split_by_weight(df, key, cells)
-    salted = heavy.groupBy(key, F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_salt")).agg(
+    salted = heavy.groupBy(key, F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("__sl_salt")).agg(
         *(F.sum(m).alias(m) for m in measures)
     )
     per_key = salted.groupBy(key).agg(*(F.sum(m).alias(m) for m in measures))
@@ -95,10 +97,10 @@ def skewed_totals(df: DataFrame, key: str, measures: Sequence[str], share: float
 
     Rows with a null key are left out; nulls in a measure add nothing and a key with nulls only gets null.
     """
-    cells = heavy_cells(df.withColumn("_one", F.lit(1.0)), key, ["_one", *measures], share)
+    cells = heavy_cells(df.withColumn("__sl_one", F.lit(1.0)), key, ["__sl_one", *measures], share)
     heavy, light = split_by_weight(df, key, cells)
     sums = [F.count(F.lit(1)).alias("n_rows"), *(F.sum(m).alias(m) for m in measures)]
-    salted = heavy.groupBy(key, F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_salt")).agg(*sums)
+    salted = heavy.groupBy(key, F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("__sl_salt")).agg(*sums)
     merged = salted.groupBy(key).agg(F.sum("n_rows").alias("n_rows"), *(F.sum(m).alias(m) for m in measures))
     return merged.withColumn("is_heavy", F.lit(True)).unionByName(light.groupBy(key).agg(*sums).withColumn("is_heavy", F.lit(False)))
 
@@ -117,11 +119,11 @@ def skew_join(
         raise ValueError(f"how = {how!r}")
 
     def one(a: DataFrame, b: DataFrame) -> DataFrame:
-        b = b.withColumnRenamed(key, "_right_key")
-        on = F.expr("`" + key + "` = _right_key" + (f" and ({condition})" if condition else ""))
-        return a.join(b, on, how).drop("_right_key")
+        b = b.withColumnRenamed(key, "__sl_right_key")
+        on = F.expr("`" + key + "` = __sl_right_key" + (f" and ({condition})" if condition else ""))
+        return a.join(b, on, how).drop("__sl_right_key")
 
-    cells = heavy_cells(left.sample(SAMPLED, seed=1).select(key, F.lit(1.0).alias("_one")), key, ["_one"], share)
+    cells = heavy_cells(left.sample(SAMPLED, seed=1).select(key, F.lit(1.0).alias("__sl_one")), key, ["__sl_one"], share)
     if cells.isEmpty():
         return one(left, right)
     heavy, light = split_by_weight(left, key, cells)

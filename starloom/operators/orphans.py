@@ -42,9 +42,9 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys: Sequence[str],
         if not filled:
             parts.append(part)
             continue
-        keyed = part.withColumn("_k", F.struct(*filled))
-        known = parents.dropna(subset=list(filled)).select(F.struct(*filled).alias("_k")).distinct()
-        parts.append(skew_join(keyed, known, "_k", "left_anti").select(*refs.columns))
+        keyed = part.withColumn("__sl_k", F.struct(*filled))
+        known = parents.dropna(subset=list(filled)).select(F.struct(*filled).alias("__sl_k")).distinct()
+        parts.append(skew_join(keyed, known, "__sl_k", "left_anti").select(*refs.columns))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -84,19 +84,22 @@ def live_spells(files: DataFrame, keys: Sequence[str], start: str, end: str) ->
 
 def _thinned(spells: DataFrame, key: str, start: str, end: str, share: float = 0.001) -> DataFrame:
     """Registrations of keys with very many of them merged into spells; those of all other keys as they are."""
-    cells = heavy_cells(spells.sample(SAMPLED, seed=2).select(key, F.lit(1.0).alias("_one")), key, ["_one"], share)
+    cells = heavy_cells(spells.sample(SAMPLED, seed=2).select(key, F.lit(1.0).alias("__sl_one")), key, ["__sl_one"], share)
     if cells.isEmpty():
         return spells
     many, few = split_by_weight(spells, key, cells)
-    return few.unionByName(live_spells(many, [key], start, end))
+    merged = live_spells(many, [key], start, end).select(key, F.col("live_from").alias(start), F.col("live_to").alias(end))
+    return few.unionByName(merged)
 
 
 def dated_orphans(refs: DataFrame, files: DataFrame, keys: Sequence[str], at: str, start: str, end: str, match: str = "simple") -> DataFrame:
     """References whose key is not live at their own time, with reason deleted, late or missing.
 
     deleted: live earlier; late: registered only afterwards; missing: never registered.  A reference without a time can't
-    be placed and is no orphan.  Null keys follow match (see null_masks).  Result: columns of refs and reason.
+    be placed and is no orphan.  Null keys follow match (see null_masks).  Result: columns of refs and reason; a column
+    of refs that is itself called reason is left out, other names may be any.
     """
+    refs = refs.drop("reason")
     forever = F.lit("9999-12-31 00:00:00").cast(files.schema[end].dataType)
     parts = []
     for filled, part in null_masks(refs.filter(F.col(at).isNotNull()), keys, match):
@@ -105,17 +108,17 @@ def dated_orphans(refs: DataFrame, files: DataFrame, keys: Sequence[str], at: st
             continue
         spells = (
             files.dropna(subset=list(filled))
-            .select(F.struct(*filled).alias("_k"), F.col(start).alias("live_from"), F.coalesce(F.col(end), forever).alias("live_to"))
-            .filter("live_from is not null and live_to > live_from")
+            .select(F.struct(*filled).alias("__sl_k"), F.col(start).alias("__sl_from"), F.coalesce(F.col(end), forever).alias("__sl_to"))
+            .filter("__sl_from is not null and __sl_to > __sl_from")
         )
-        known = _thinned(spells, "_k", "live_from", "live_to")
-        keyed = part.withColumn("_k", F.struct(*filled))
-        orphans = skew_join(keyed, known, "_k", "left_anti", f"live_from <= `{at}` and `{at}` < live_to")
+        known = _thinned(spells, "__sl_k", "__sl_from", "__sl_to")
+        keyed = part.withColumn("__sl_k", F.struct(*filled))
+        orphans = skew_join(keyed, known, "__sl_k", "left_anti", f"__sl_from <= `{at}` and `{at}` < __sl_to")
         # both ends are read, so that this and the join above share one exchange of the files
-        firsts = known.groupBy("_k").agg(F.min("live_from").alias("_first"), F.max("live_to").alias("_last"))
-        placed = orphans.join(firsts, "_k", "left")
+        firsts = known.groupBy("__sl_k").agg(F.min("__sl_from").alias("__sl_first"), F.max("__sl_to").alias("__sl_last"))
+        placed = orphans.join(firsts, "__sl_k", "left")
         reason = (
-            F.when(F.col("_first").isNull() | F.col("_last").isNull(), "missing").when(F.col("_first") <= F.col(at), "deleted").otherwise("late")
+            F.when(F.col("__sl_first").isNull() | F.col("__sl_last").isNull(), "missing").when(F.col("__sl_first") <= F.col(at), "deleted").otherwise("late")
         )
         parts.append(placed.select(*refs.columns, reason.alias("reason")))
     result = parts[0]
