@@ -61,24 +61,24 @@ def group_splits(records: DataFrame, group: str, shares: Mapping[str, float]) ->
     """The records with their split; a group's records always share one.  Records with a null group get a null split."""
     if abs(sum(shares.values()) - 1) > 1e-9:
         raise ValueError("shares must add up to 1")
-    sizes = records.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_weight"))
-    total = sizes.agg(F.sum("_weight")).first()[0] or 0
+    sizes = records.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("__sl_weight"))
+    total = sizes.agg(F.sum("__sl_weight")).first()[0] or 0
     light = F.pmod(F.xxhash64(F.col(group)), F.lit(BUNDLES))
-    alone = F.col("_weight") * BUNDLES > F.lit(total)
-    named = sizes.select(group, "_weight", F.when(alone, F.col(group)).alias("_alone"), F.when(~alone, light).alias("_light"))
-    bundles = named.groupBy("_alone", "_light").agg(F.sum("_weight").alias("_weight"))
-    listed = sorted(bundles.collect(), key=lambda r: (r["_alone"] or "", r["_light"] if r["_light"] is not None else -1))  # <= 2 x BUNDLES
-    weights = [r["_weight"] for r in listed]
+    alone = F.col("__sl_weight") * BUNDLES > F.lit(total)
+    named = sizes.select(group, "__sl_weight", F.when(alone, F.col(group)).alias("__sl_alone"), F.when(~alone, light).alias("__sl_light"))
+    bundles = named.groupBy("__sl_alone", "__sl_light").agg(F.sum("__sl_weight").alias("__sl_weight"))
+    listed = sorted(bundles.collect(), key=lambda r: (r["__sl_alone"] or "", r["__sl_light"] if r["__sl_light"] is not None else -1))  # <= 2 x BUNDLES
+    weights = [r["__sl_weight"] for r in listed]
     at = largest_differencing(weights, BINS)
     sums = [0] * BINS
     for weight, number in zip(weights, at, strict=True):
         sums[number] += weight
     split_of = bins_to_splits(sums, shares)
     spark = records.sparkSession
-    heavy_rows = [(r["_alone"], split_of[n]) for r, n in zip(listed, at, strict=True) if r["_alone"] is not None]
-    heavy = spark.createDataFrame(heavy_rows, f"`{group}` string, _heavy_split string")
-    light_rows = [(r["_light"], split_of[n]) for r, n in zip(listed, at, strict=True) if r["_light"] is not None]
-    rest = spark.createDataFrame(light_rows, "_light bigint, _light_split string")
-    placed = records.join(F.broadcast(heavy), group, "left").withColumn("_light", light).join(F.broadcast(rest), "_light", "left")
-    split = F.when(F.col(group).isNotNull(), F.coalesce("_heavy_split", "_light_split"))
+    heavy_rows = [(r["__sl_alone"], split_of[n]) for r, n in zip(listed, at, strict=True) if r["__sl_alone"] is not None]
+    heavy = spark.createDataFrame(heavy_rows, f"`{group}` string, __sl_heavy_split string")
+    light_rows = [(r["__sl_light"], split_of[n]) for r, n in zip(listed, at, strict=True) if r["__sl_light"] is not None]
+    rest = spark.createDataFrame(light_rows, "__sl_light bigint, __sl_light_split string")
+    placed = records.join(F.broadcast(heavy), group, "left").withColumn("__sl_light", light).join(F.broadcast(rest), "__sl_light", "left")
+    split = F.when(F.col(group).isNotNull(), F.coalesce("__sl_heavy_split", "__sl_light_split"))
     return placed.select(*[F.col(c) for c in records.columns], split.alias("split"))

@@ -28,7 +28,7 @@ def permuted(key: Column, seed: int) -> Column:
 def latest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the greatest by the order columns; combined before the shuffle, so a hot key costs no task more."""
     best = F.max_by(F.struct(*df.columns), F.struct(*order))
-    return df.groupBy(*keys).agg(best.alias("_row")).select("_row.*")
+    return df.groupBy(*keys).agg(best.alias("__sl_row")).select("__sl_row.*")
 
 
 def place(rows: DataFrame, categories: DataFrame, equal: Sequence[str], value: str, low: str, high: str) -> DataFrame:
@@ -36,11 +36,11 @@ def place(rows: DataFrame, categories: DataFrame, equal: Sequence[str], value: s
 
     A null in an equal column or in the value places nowhere.
     """
-    named = bounded_broadcast(categories.select(F.struct(*categories.columns).alias("_category")), MAX_CATEGORIES)
-    on = (F.col(value) >= F.col(f"_category.{low}")) & (F.col(value) < F.col(f"_category.{high}"))
+    named = bounded_broadcast(categories.select(F.struct(*categories.columns).alias("__sl_category")), MAX_CATEGORIES)
+    on = (F.col(value) >= F.col(f"__sl_category.{low}")) & (F.col(value) < F.col(f"__sl_category.{high}"))
     for column in equal:
-        on = on & (F.col(column) == F.col(f"_category.{column}"))
-    return rows.join(named, on).select(*[F.col(c) for c in rows.columns], F.col("_category.target_id").alias("target_id"))
+        on = on & (F.col(column) == F.col(f"__sl_category.{column}"))
+    return rows.join(named, on).select(*[F.col(c) for c in rows.columns], F.col("__sl_category.target_id").alias("target_id"))
 
 
 def pass_quota(leaves: DataFrame, leaf: str, tree: Sequence[str]) -> DataFrame:
@@ -110,17 +110,17 @@ def draw(placed: DataFrame, report: DataFrame, key: str, seed: int) -> DataFrame
 
     Only the hash range in which a category's allocation ends is cut; ranges before it are taken whole.
     """
-    rows = placed.select("target_id", key, permuted(F.col(key), seed).alias("_turn")).withColumn(
-        "_range", F.shiftright("_turn", 48)
+    rows = placed.select("target_id", key, permuted(F.col(key), seed).alias("__sl_turn")).withColumn(
+        "__sl_range", F.shiftright("__sl_turn", 48)
     )
-    counts = rows.groupBy("target_id", "_range").agg(F.count_distinct(key).alias("_n"))
-    before = Window.partitionBy("target_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
+    counts = rows.groupBy("target_id", "__sl_range").agg(F.count_distinct(key).alias("__sl_n"))
+    before = Window.partitionBy("target_id").orderBy("__sl_range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
     limits = (
-        counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        counts.withColumn("__sl_before", F.coalesce(F.sum("__sl_n").over(before), F.lit(0)))
         .join(bounded_broadcast(report.select("target_id", "allocated"), MAX_CATEGORIES), "target_id")
-        .filter(F.col("_before") < F.col("allocated"))
-        .select("target_id", "_range", "_before", "allocated")
+        .filter(F.col("__sl_before") < F.col("allocated"))
+        .select("target_id", "__sl_range", "__sl_before", "allocated")
     )
-    inside = Window.partitionBy("target_id", "_range").orderBy("_turn", key)
-    ranked = rows.join(limits, ["target_id", "_range"]).withColumn("draw_rank", F.col("_before") + F.dense_rank().over(inside))
+    inside = Window.partitionBy("target_id", "__sl_range").orderBy("__sl_turn", key)
+    ranked = rows.join(limits, ["target_id", "__sl_range"]).withColumn("draw_rank", F.col("__sl_before") + F.dense_rank().over(inside))
     return ranked.filter(F.col("draw_rank") <= F.col("allocated")).select("target_id", key, "draw_rank")

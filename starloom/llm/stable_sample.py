@@ -37,10 +37,10 @@ def new_entries(records: DataFrame, ledger: DataFrame | None, key: str, seen_at:
     if ledger is not None:
         first = first.join(ledger.select(key), key, "left_anti")
     steps = bounded_broadcast(
-        rates.agg(F.sort_array(F.collect_list(F.struct("epoch", "rate"))).alias("_steps")), 1
+        rates.agg(F.sort_array(F.collect_list(F.struct("epoch", "rate"))).alias("__sl_steps")), 1
     )  # one row, MAX_EPOCHS steps at most
-    valid = F.filter("_steps", lambda s: s["epoch"] <= F.col("epoch"))
-    rate = F.coalesce(F.element_at(valid, -1)["rate"], F.element_at(F.col("_steps"), 1)["rate"])
+    valid = F.filter("__sl_steps", lambda s: s["epoch"] <= F.col("epoch"))
+    rate = F.coalesce(F.try_element_at(valid, F.lit(-1))["rate"], F.try_element_at(F.col("__sl_steps"), F.lit(1))["rate"])
     return first.join(steps, F.lit(True)).select(key, "epoch", rate.alias("rate"))
 
 
