@@ -147,9 +147,9 @@ def asof_interpolate(rows: DataFrame, curve: DataFrame, keys: Sequence[str], x:
     """
     points = curve.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(cx).alias("x"), F.col(cy).alias("y")))).alias("_c"))
     joined = rows.join(points, list(keys), "left")
-    below = F.element_at(F.filter("_c", lambda p: p["x"] <= F.col(x)), -1)
+    below = F.try_element_at(F.filter("_c", lambda p: p["x"] <= F.col(x)), F.lit(-1))
     above = F.get(F.filter("_c", lambda p: p["x"] > F.col(x)), 0)
-    with_ends = joined.withColumns({"_lo": F.when(F.exists("_c", lambda p: p["x"] <= F.col(x)), below), "_hi": above})
+    with_ends = joined.withColumns({"_lo": below, "_hi": above})
     inner = F.col("_lo.y") + (F.col("_hi.y") - F.col("_lo.y")) * (F.col(x) - F.col("_lo.x")) / (F.col("_hi.x") - F.col("_lo.x"))
     value = F.when(F.col("_lo").isNull(), F.col("_hi.y")).when(F.col("_hi").isNull(), F.col("_lo.y")).otherwise(inner)
     return with_ends.select(*[F.col(c) for c in rows.columns], value.alias("interpolated"))
