@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.operators.running import linear_quantiles
+
 
 def fallback_join(left: DataFrame, right: DataFrame, fine: Sequence[str], coarse: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Left rows with the values of the right row of their fine key, else the smallest value among the rows of their coarse key.
@@ -73,9 +75,8 @@ def pending(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return work.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def terciles(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
-    """size_bin 0, 1 or 2 by two percentiles of value over all rows; equal values combined first."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = counts.agg(F.expr(f"percentile({value}, array({low}, {high}), _n)").alias("_cuts"))
-    binned = F.when(F.col(value) <= F.col("_cuts")[0], 0).when(F.col(value) <= F.col("_cuts")[1], 1).otherwise(2)
+def terciles(df: DataFrame, value: str, low: float, high: float, bin_of: Column) -> DataFrame:
+    """size_bin 0, 1 or 2 by two percentiles of value over all rows, which are counted over bins."""
+    cuts = linear_quantiles(df, [], value, [low, high], bin_of)
+    binned = F.when(F.col(value) <= F.col("q")[0], 0).when(F.col(value) <= F.col("q")[1], 1).otherwise(2)
     return df.join(F.broadcast(cuts), F.lit(True)).select(*[F.col(c) for c in df.columns], binned.alias("size_bin"))  # one row

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.operators.running import linear_quantiles, running_sums
+
 
 def guarded_corr(a: str, b: str) -> Column:
     """Pearson correlation from sums; 0 where either side is constant or there are no pairs."""
@@ -14,12 +16,10 @@ def guarded_corr(a: str, b: str) -> Column:
     return F.when((n > 1) & (va > 0) & (vb > 0), F.try_divide(F.covar_pop(a, b), F.sqrt(va) * F.sqrt(vb))).otherwise(0.0)
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
-    """Linear percentiles p<100 q> per key over counts of distinct values, which are combined before the shuffle."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    listed = ", ".join(map(str, points))
-    arrays = counts.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, array({listed}), _n)").alias("_p"))
-    return arrays.select(*keys, *(F.col("_p")[k].alias(f"p{round(100 * q):02d}") for k, q in enumerate(points)))
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float], bin_of: Column) -> DataFrame:
+    """Linear percentiles p<100 q> per key, exact, over bins of the value."""
+    found = linear_quantiles(df, keys, value, points, bin_of)
+    return found.select(*keys, *(F.col("q")[k].alias(f"p{round(100 * q):02d}") for k, q in enumerate(points)))
 
 
 def soft_iou(df: DataFrame, item: str, group: str, place: Sequence[str], value: str) -> DataFrame:
@@ -84,25 +84,27 @@ def normal_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def conformal_thresholds(df: DataFrame, stratum: str, score: str, alpha: float, least: int) -> DataFrame:
-    """(stratum, n, threshold): finite-sample quantile of the scores of each stratum, the overall one where it has too few rows."""
-    level = "least(1.0D, ceil((_all + 1) * {a}) / _all)".format(a=1 - alpha)
+def conformal_thresholds(df: DataFrame, stratum: str, score: str, alpha: float, least: int, bins: int = 1000) -> DataFrame:
+    """(stratum, n, threshold): finite-sample quantile of the scores of each stratum, the overall one where it has too few rows.
+
+    Scores lie in [0, 1] and are counted over bins first, so neither a stratum nor the whole is sorted in one task.
+    """
     counts = df.groupBy(stratum, score).agg(F.count(F.lit(1)).alias("_n"))
 
     def quantiles(rows: DataFrame, keys: list[str]) -> DataFrame:
-        # the quantile level depends on the group's size, so the value is read from the running count
-        group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        run = group.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-        ranked = rows.withColumns({"_all": F.sum("_n").over(group), "_run": F.sum("_n").over(run)})
-        at = ranked.withColumn("_h", F.expr(f"({level}) * (_all - 1)"))
+        sizes = rows.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+        level = F.least(F.lit(1.0), F.ceil((F.col("_all") + 1) * (1 - alpha)) / F.col("_all"))
+        run = running_sums(rows, keys, [score], {"_run": F.col("_n").cast("double")}, F.floor(F.col(score) * bins))
+        placed = run.join(sizes, keys) if keys else run.join(F.broadcast(sizes), F.lit(True))  # one row
+        at = placed.withColumn("_h", level * (F.col("_all") - 1))
         lower = F.min(F.when(F.col("_run") > F.floor("_h"), F.col(score)))
         upper = F.min(F.when(F.col("_run") > F.ceil("_h"), F.col(score)))
         part = F.max(F.col("_h") - F.floor("_h"))
         return at.groupBy(*keys).agg(F.max("_all").alias("n"), (lower + part * (upper - lower)).alias("threshold"))
 
-    overall = quantiles(counts.groupBy(score).agg(F.sum("_n").alias("_n")), []).select(F.col("threshold").alias("_overall"))
-    each = quantiles(counts, [stratum])
-    joined = each.join(F.broadcast(overall), F.lit(True))  # one row
+    merged = counts.groupBy(score).agg(F.sum("_n").alias("_n")).withColumn("_whole", F.lit(0))
+    overall = quantiles(merged, ["_whole"]).select(F.col("threshold").alias("_overall"))
+    joined = quantiles(counts, [stratum]).join(F.broadcast(overall), F.lit(True))  # one row
     return joined.select(stratum, "n", F.when(F.col("n") >= least, F.col("threshold")).otherwise(F.col("_overall")).alias("threshold"))
 
 
@@ -130,14 +132,23 @@ def nearest_template(rows: DataFrame, templates: DataFrame, features: Sequence[s
     return joined.select(*[F.col(c) for c in rows.columns], F.col("_best.id").alias(template), F.sqrt("_best.d").alias("distance"))
 
 
-def range_join(left: DataFrame, right: DataFrame, x: str, y: str, rx: str, ry: str, radius: float) -> DataFrame:
-    """Pairs within a radius in the plane: right rows are sent to the 9 cells around their own, then joined by cell."""
+def range_join(
+    left: DataFrame, right: DataFrame, x: str, y: str, rx: str, ry: str, radius: float, equal: Sequence[tuple[str, str]] = ()
+) -> DataFrame:
+    """Pairs within a radius in the plane: right rows are sent to the 9 cells around their own, then joined by cell.
+
+    equal: further (left, right) columns that must agree; column names of the two sides must differ.
+    """
     cell = lambda c: F.floor(F.col(c) / radius).cast("bigint")
     steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
     spread = right.withColumn("_m", F.explode(steps)).withColumns({"_cx": cell(rx) + F.col("_m.a"), "_cy": cell(ry) + F.col("_m.b")}).drop("_m")
-    near = left.withColumns({"_cx": cell(x), "_cy": cell(y)}).join(spread, ["_cx", "_cy"])
+    near = left.withColumns({"_lx": cell(x), "_ly": cell(y)})
+    on = (F.col("_lx") == F.col("_cx")) & (F.col("_ly") == F.col("_cy"))
+    for a, b in equal:
+        on = on & (F.col(a) == F.col(b))
+    near = near.join(spread, on)
     squared = (F.col(x) - F.col(rx)) ** 2 + (F.col(y) - F.col(ry)) ** 2
-    return near.withColumn("distance", F.sqrt(squared)).filter(F.col("distance") <= radius).drop("_cx", "_cy")
+    return near.withColumn("distance", F.sqrt(squared)).filter(F.col("distance") <= radius).drop("_cx", "_cy", "_lx", "_ly")
 
 
 def asof_interpolate(rows: DataFrame, curve: DataFrame, keys: Sequence[str], x: str, cx: str, cy: str) -> DataFrame:

@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
-from starloom.plans import catalog_queries, grid_queries, particle_queries, pipeline_queries, stats_queries, stream_queries
+from starloom.plans import (
+    catalog_queries,
+    file_queries,
+    grid_queries,
+    model_queries,
+    particle_queries,
+    pipeline_queries,
+    stats_queries,
+    stream_queries,
+)
 from starloom.plans.registry import Registry
 
+MODULES = (
+    pipeline_queries,
+    particle_queries,
+    catalog_queries,
+    grid_queries,
+    stats_queries,
+    model_queries,
+    file_queries,
+    stream_queries,
+)
+
 
 def registries() -> list[Registry]:
-    return [pipeline_queries.registry, particle_queries.registry, catalog_queries.registry, grid_queries.registry, stats_queries.registry, stream_queries.registry]
+    return [module.registry for module in MODULES]

@@ -208,7 +208,7 @@ def snapshot_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stratified_pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First listing of each sample, design and size tercile."""
     rows = table(spark, sf_dir, "wave2_manifest").filter("re_kpc is not null").select("listing_id", "snapshot", "subhalo_id", "sample_manga", "ifu_design", "re_kpc")
-    binned = C.terciles(rows, "re_kpc", 0.333, 0.666)
+    binned = C.terciles(rows, "re_kpc", 0.333, 0.666, F.floor(F.col("re_kpc") * 8))
     return C.stratified_pick(binned, ["sample_manga", "ifu_design", "size_bin"], ["snapshot", "subhalo_id", "listing_id"]).select("sample_manga", "ifu_design", "size_bin", "listing_id")
 
 

@@ -77,11 +77,10 @@ def radial_mean_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     "round(CASE WHEN quantile_cont(mass, 0.98) > quantile_cont(mass, 0.02) THEN quantile_cont(mass, 0.98) ELSE quantile_cont(mass, 0.02) + 1 END, 6) AS high FROM p GROUP BY 1",
 )
 def display_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2nd and 98th percentile of mass, widened by one where they coincide; counts per distinct value are combined first."""
-    counts = particles(spark, sf_dir).groupBy("component", "mass").agg(F.count(F.lit(1)).alias("n"))
-    ends = counts.groupBy("component").agg(F.expr("percentile(mass, 0.02, n)").alias("low"), F.expr("percentile(mass, 0.98, n)").alias("top"))
-    high = F.when(F.col("top") > F.col("low"), F.col("top")).otherwise(F.col("low") + 1)
-    return ends.select("component", F.round("low", 6).alias("low"), F.round(high, 6).alias("high"))
+    """2nd and 98th percentile of mass, widened by one where they coincide."""
+    ends = R.linear_quantiles(particles(spark, sf_dir), ["component"], "mass", [0.02, 0.98], F.floor(F.col("mass") / 1000))
+    low, top = F.col("q")[0], F.col("q")[1]
+    return ends.select("component", F.round(low, 6).alias("low"), F.round(F.when(top > low, top).otherwise(low + 1), 6).alias("high"))
 
 
 @query(
@@ -91,8 +90,8 @@ def display_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def point_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = particles(spark, sf_dir)
-    counts = rows.groupBy("component", "mass").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.groupBy("component").agg(F.expr("percentile(mass, 0.95, n)").alias("top"))
+    found = R.linear_quantiles(rows, ["component"], "mass", [0.95], F.floor(F.col("mass") / 1000))
+    top = found.select("component", F.col("q")[0].alias("top"))
     value = F.log1p(F.col("mass") / F.col("top")) / math.log(2.0)
     joined = rows.join(F.broadcast(top), "component")  # one row per component
     return joined.select("pid", "galaxy_id", "component", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)), 6).alias("intensity"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from starloom.functions import scalars as S
 from starloom.operators import spectral as X
 from starloom.operators import statistics as T
-from starloom.operators.running import ranks
+from starloom.operators.running import linear_quantiles, ranks
 from starloom.plans.registry import Registry
 from starloom.plans.views import SPECTRA_SQL, STARS_SQL, spectra, stars
 from starloom.sources.tables import table
@@ -22,7 +22,7 @@ query = registry.query
 
 @query("percentile_stats", f"WITH {SPECTRA_SQL} SELECT kind, " + ", ".join(f"round(quantile_cont(flux, {q}), 6) AS p{round(100 * q):02d}" for q in (0.1, 0.25, 0.5, 0.75, 0.9)) + " FROM e GROUP BY 1")
 def percentile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = T.percentiles(spectra(spark, sf_dir), ["kind"], "flux", (0.1, 0.25, 0.5, 0.75, 0.9))
+    found = T.percentiles(spectra(spark, sf_dir), ["kind"], "flux", (0.1, 0.25, 0.5, 0.75, 0.9), F.floor("flux"))
     return found.select("kind", *(F.round(c, 6).alias(c) for c in found.columns if c != "kind"))
 
 
@@ -324,14 +324,10 @@ def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("success_report", "SELECT ifu_design, count(*) AS n, round(count(*) FILTER (n_star_part >= 100000) / count(*), 6) AS success, round(median(re_kpc) FILTER (n_star_part >= 100000), 6) AS median_re FROM wave2_manifest GROUP BY 1")
 def success_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate of and median over the rows that pass, per design."""
-    rows = table(spark, sf_dir, "wave2_manifest").groupBy("ifu_design", "re_kpc").agg(
-        F.count(F.lit(1)).alias("c"), F.count_if(F.col("n_star_part") >= 100000).alias("good")
-    )
-    return rows.groupBy("ifu_design").agg(
-        F.sum("c").alias("n"),
-        F.round(F.sum("good") / F.sum("c"), 6).alias("success"),
-        F.round(F.expr("percentile(re_kpc, 0.5, good)"), 6).alias("median_re"),
-    )
+    rows = table(spark, sf_dir, "wave2_manifest").select("ifu_design", "re_kpc", (F.col("n_star_part") >= 100000).alias("good"))
+    rates = rows.groupBy("ifu_design").agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if("good") / F.count(F.lit(1)), 6).alias("success"))
+    middle = linear_quantiles(rows.filter("good"), ["ifu_design"], "re_kpc", [0.5], F.floor(F.col("re_kpc") * 8))
+    return rates.join(middle, "ifu_design", "left").select("ifu_design", "n", "success", F.round(F.col("q")[0], 6).alias("median_re"))
 
 
 _SCALES = [1.0, 2.0, 4.0, 8.0]
