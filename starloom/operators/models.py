@@ -15,6 +15,7 @@ def midpoint_nodes(rows: DataFrame, nodes: DataFrame, x: str, node: str, max_nod
 
     nodes is a library of checked size; each row scans one sorted array.
     """
+    nodes = nodes.select(node).distinct()
     if nodes.limit(max_nodes + 1).count() > max_nodes:
         raise ValueError(f"more than {max_nodes} nodes")
     listed = nodes.agg(F.array_sort(F.collect_set(node)).alias("_n"))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from starloom.operators.running import linear_quantiles, running_sums
 
 
+UNROLLED = 64
+
+
 def guarded_corr(a: str, b: str) -> Column:
     """Pearson correlation from sums; 0 where either side is constant or there are no pairs."""
     n, va, vb = F.count(F.lit(1)), F.var_pop(a), F.var_pop(b)
@@ -116,19 +119,25 @@ def mean_vector(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
 def nearest_template(rows: DataFrame, templates: DataFrame, features: Sequence[str], template: str, max_templates: int = 10_000) -> DataFrame:
     """Rows with their nearest template (Euclidean, smallest id of equals).  templates is a library of checked size.
 
-    Each row scans one broadcast array of templates, so nothing is paired up or shuffled.
+    Nothing is paired up or shuffled: a library of up to UNROLLED templates becomes one compiled expression, a larger one
+    a broadcast array that each row scans.
     """
-    if templates.limit(max_templates + 1).count() > max_templates:
+    listed = templates.select(template, *features).limit(max_templates + 1).collect()
+    if len(listed) > max_templates:
         raise ValueError(f"more than {max_templates} templates")
-    listed = templates.agg(F.sort_array(F.collect_list(F.struct(template, *features))).alias("_t"))
-
-    def better(best: Column, t: Column) -> Column:
-        distance = sum(((t[f] - F.col(f)) ** 2 for f in features[1:]), (t[features[0]] - F.col(features[0])) ** 2)
-        return F.when(distance < best["d"], F.struct(distance.alias("d"), t[template].alias("id"))).otherwise(best)
-
     kind = templates.schema[template].dataType
-    start = F.struct(F.lit(float("inf")).alias("d"), F.lit(None).cast(kind).alias("id"))
-    joined = rows.join(F.broadcast(listed), F.lit(True)).withColumn("_best", F.aggregate("_t", start, better))
+
+    def squared(of: dict) -> Column:
+        return sum(((of[f] - F.col(f)) ** 2 for f in features[1:]), (of[features[0]] - F.col(features[0])) ** 2)
+
+    if len(listed) <= UNROLLED:
+        pairs = [F.struct(squared({f: F.lit(float(t[f])) for f in features}).alias("d"), F.lit(t[template]).cast(kind).alias("id")) for t in listed]
+        best = F.array_min(F.array(*pairs)) if pairs else F.struct(F.lit(None).cast("double").alias("d"), F.lit(None).cast(kind).alias("id"))
+        joined = rows.withColumn("_best", best)
+    else:
+        array = templates.agg(F.collect_list(F.struct(template, *features)).alias("_t"))
+        scanned = F.array_min(F.transform("_t", lambda t: F.struct(squared({f: t[f] for f in features}).alias("d"), t[template].alias("id"))))
+        joined = rows.join(F.broadcast(array), F.lit(True)).withColumn("_best", scanned)  # one row
     return joined.select(*[F.col(c) for c in rows.columns], F.col("_best.id").alias(template), F.sqrt("_best.d").alias("distance"))
 
 

@@ -30,3 +30,9 @@ def durable(df: DataFrame, eager: bool = True) -> DataFrame:
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only if the side has at most max_rows rows; a larger side is left to the planner's shuffle joins."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan dealt out to all cores where its files give fewer tasks than that, for costly work on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

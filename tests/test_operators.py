@@ -247,6 +247,15 @@ def test_helpers_refuse_unbounded_libraries(spark):
         M.midpoint_nodes(spark.range(3), spark.range(5).select(F.col("id").cast("double").alias("node")), "id", "node", 4)
 
 
+@pytest.mark.parametrize("unrolled", [64, 0])
+def test_nearest_template(spark, monkeypatch, unrolled):
+    monkeypatch.setattr(T, "UNROLLED", unrolled)
+    library = spark.createDataFrame([(2, 0.0, 0.0), (1, 2.0, 0.0), (3, 0.0, 9.0)], "t int, a double, b double")
+    rows = spark.createDataFrame([(1.0, 0.0), (0.1, 0.0), (0.0, 8.0)], "a double, b double")
+    assert [r["t"] for r in T.nearest_template(rows, library, ["a", "b"], "t").orderBy("b", F.desc("a")).collect()] == [1, 2, 3]
+    assert [r["t"] for r in T.nearest_template(rows, library.limit(0), ["a", "b"], "t").collect()] == [None] * 3
+
+
 def test_range_join_against_brute_force(spark):
     rng = np.random.default_rng(9)
     a, b = rng.uniform(-3, 3, (80, 2)), rng.uniform(-3, 3, (60, 2))
