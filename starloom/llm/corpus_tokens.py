@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.plans.durable import spread
+
 TOKENIZER_FOLDER = os.environ.get("STARLOOM_TOKENIZERS", "/opt/tokenizers")
 DEFAULT_FILE = "byte_bpe_50k.json"
 BATCH = 256
@@ -131,7 +133,7 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None) -> DataF
                 ids = encode_texts([t or "" for t in part.column(1).to_pylist()], loaded, cache)
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], ["key", "ids"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>").select(
+    return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, f"key {kind}, ids array<int>").select(
         F.col("key").alias(key), "ids"
     )
 
@@ -155,7 +157,7 @@ def encode_with_offsets(df: DataFrame, key: str, text: str, path: str | None = N
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["key", "ids", "starts", "ends"])
 
     schema = f"key {kind}, ids array<int>, starts array<int>, ends array<int>"
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).select(
+    return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(run, schema).select(
         F.col("key").alias(key), "ids", "starts", "ends"
     )
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm.subtitles import fold, spoken_text, words
+from starloom.plans.durable import spread
 
 MAX_SAMPLES = 20_000
 LEAST_WORDS = 60
@@ -190,5 +191,5 @@ def reading_levels(
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
 
     source = documents.select(F.col(doc).alias("doc"), F.col(text).alias("text")).filter("text is not null")
-    scored = source.mapInArrow(run, f"doc {kind}, language string, n_words int, score double, level int")
+    scored = spread(source).mapInArrow(run, f"doc {kind}, language string, n_words int, score double, level int")
     return scored.withColumnRenamed("doc", doc)
