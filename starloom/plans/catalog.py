@@ -11,6 +11,7 @@ from starloom.plans import (
     pipeline_queries,
     stats_queries,
     stream_queries,
+    validation_queries,
 )
 from starloom.plans.registry import Registry
 
@@ -23,6 +24,7 @@ MODULES = (
     model_queries,
     file_queries,
     stream_queries,
+    validation_queries,
 )
 
 
