@@ -74,7 +74,7 @@ def simpson(df: DataFrame, keys: Sequence[str], ordinal: str, value: str, step:
     even_sum = F.sum(F.when(~ends & ~odd, F.col(value)))
     if legacy:
         even_sum = F.count_if(~ends & ~odd) * F.max(F.when(k == F.col("_last") - 1, F.col(value)))
-    total = F.sum(F.when(ends, F.col(value)).otherwise(0.0)) + 4 * F.sum(F.when(odd, F.col(value)).otherwise(0.0)) + 2 * F.coalesce(even_sum, F.lit(0.0))
+    total = F.sum(F.when(ends, F.col(value)).otherwise(0.0)) + 4 * F.sum(F.when(odd & ~ends, F.col(value)).otherwise(0.0)) + 2 * F.coalesce(even_sum, F.lit(0.0))
     return joined.groupBy(*keys).agg((total * step / 3).alias("integral"))
 
 

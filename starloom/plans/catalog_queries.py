@@ -187,7 +187,7 @@ def galaxy_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "snapshot_rollup",
-    "SELECT snapshot, sample_manga, count(*) AS n_rows, count(DISTINCT subhalo_id) AS n_galaxies, round(avg(re_kpc), 6) AS mean_re FROM wave2_manifest GROUP BY ROLLUP (snapshot, sample_manga)",
+    "SELECT snapshot, sample_manga, count(*) AS n_rows, count(DISTINCT subhalo_id) AS n_galaxies, round(avg(re_kpc), 4) AS mean_re FROM wave2_manifest GROUP BY ROLLUP (snapshot, sample_manga)",
 )
 def snapshot_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-level roll-up; galaxies are made distinct in a first grouping, so the roll-up itself expands few rows."""
@@ -195,7 +195,7 @@ def snapshot_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("re_kpc").alias("s"), F.count("re_kpc").alias("c")
     )
     return rows.rollup("snapshot", "sample_manga").agg(
-        F.sum("n").alias("n_rows"), F.count_distinct("subhalo_id").alias("n_galaxies"), F.round(F.try_divide(F.sum("s"), F.sum("c")), 6).alias("mean_re")
+        F.sum("n").alias("n_rows"), F.count_distinct("subhalo_id").alias("n_galaxies"), F.round(F.try_divide(F.sum("s"), F.sum("c")), 4).alias("mean_re")
     )
 
 

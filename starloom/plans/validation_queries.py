@@ -142,12 +142,12 @@ _C, _S, _M = math.cos(math.radians(30.0)), math.sin(math.radians(30.0)), (BINS -
     "rotate_bilinear",
     STACK_SQL
     + f", k AS (SELECT ty, tx, {_C!r} * (ty - {_M}) - {_S!r} * (tx - {_M}) + {_M} AS sy, {_S!r} * (ty - {_M}) + {_C!r} * (tx - {_M}) + {_M} AS sx FROM (SELECT unnest(range({BINS})) AS ty), (SELECT unnest(range({BINS})) AS tx)) "
-    "SELECT snap, ty::INTEGER AS iy, tx::INTEGER AS ix, round(sum(value * greatest(0.0, 1 - abs(sy - iy)) * greatest(0.0, 1 - abs(sx - ix))) / 1e6, 6) AS value FROM t JOIN k ON abs(sy - iy) < 1 AND abs(sx - ix) < 1 GROUP BY 1, 2, 3",
+    "SELECT snap, ty::INTEGER AS iy, tx::INTEGER AS ix, round(sum(value * greatest(0.0, 1 - abs(sy - iy)) * greatest(0.0, 1 - abs(sx - ix))) / 1e6, 8) AS value FROM t JOIN k ON abs(sy - iy) < 1 AND abs(sx - ix) < 1 GROUP BY 1, 2, 3",
 )
 def rotate_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stack turned by 30 degrees."""
     turned = V.rotate_bilinear(stacked(spark, sf_dir), ["snap"], BINS, 30.0)
-    return turned.withColumn("value", F.round(F.col("value") / 1e6, 6))
+    return turned.withColumn("value", F.round(F.col("value") / 1e6, 8))
 
 
 @query(
