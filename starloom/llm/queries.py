@@ -102,14 +102,43 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("target_id", "needed", "available", "quota", "own_gap", "is_met")
 
 
-@registry.query("p1_allocation")
+def _allocation_sql() -> str:
+    """Quotas passed on within both tree columns, then the first, then the whole tree."""
+    steps = [
+        PLACED_SQL,
+        ", q AS (SELECT *, ceil(needed)::HUGEINT AS quota FROM need), l0 AS (SELECT *, least(quota, available)::HUGEINT AS allocated, greatest(quota - available, 0)::HUGEINT AS unmet, "
+        "greatest(available - quota, 0)::HUGEINT AS spare, 0::HUGEINT AS received FROM q)",
+    ]
+    for n, by in enumerate(("stratum, barred", "stratum", "1"), 1):
+        steps.append(
+            f", w{n} AS (SELECT *, sum(unmet) OVER (PARTITION BY {by}) AS u, sum(spare) OVER (PARTITION BY {by}) AS s, sum(unmet) OVER (PARTITION BY {by} ORDER BY target_id) AS ut, "
+            f"sum(spare) OVER (PARTITION BY {by} ORDER BY target_id) AS st FROM l{n - 1}), "
+            f"g{n} AS (SELECT *, least(u, s) AS give FROM w{n}), "
+            f"p{n} AS (SELECT *, CASE WHEN s > 0 THEN give * st // s - give * (st - spare) // s ELSE 0 END AS more, CASE WHEN u > 0 THEN give * ut // u - give * (ut - unmet) // u ELSE 0 END AS less FROM g{n}), "
+            f"l{n} AS (SELECT target_id, stratum, barred, quota, available, allocated + more AS allocated, unmet - less AS unmet, spare - more AS spare, received + more AS received FROM p{n})"
+        )
+    return "".join(steps)
+
+
+ALLOCATION_SQL = _allocation_sql()
+
+
+@registry.query(
+    "p1_allocation",
+    ALLOCATION_SQL + " SELECT target_id, quota::BIGINT AS quota, available, allocated::BIGINT AS allocated, received::BIGINT AS received, unmet::BIGINT AS shortfall FROM l3",
+)
 def p1_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each target was allocated after unmet quota was passed to siblings, cousins and the rest of the tree."""
     _, report = placed_galaxies(spark, sf_dir)
     return report.select("target_id", "quota", "available", "allocated", "received", "shortfall")
 
 
-@registry.query("p1_sample")
+@registry.query(
+    "p1_sample",
+    ALLOCATION_SQL
+    + f", r AS (SELECT target_id, galaxy_id, row_number() OVER (PARTITION BY target_id ORDER BY ('0x' || substr(md5('{SEED}:' || galaxy_id), 1, 15))::BIGINT, galaxy_id) AS draw_rank FROM placed) "
+    "SELECT r.target_id, r.galaxy_id, r.draw_rank FROM r JOIN l3 USING (target_id) WHERE r.draw_rank <= l3.allocated",
+)
 def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample: target_id, galaxy_id, draw_rank."""
     placed, report = placed_galaxies(spark, sf_dir)
