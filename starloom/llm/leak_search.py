@@ -1,12 +1,13 @@
 """Evaluation texts leaking into training text: a distributed positional inverted index.
 
 1. Each document becomes the numbered words that are spoken in it (cue numbers, times, markup, noises and adverts take no
-   position).  Postings of the test vocabulary are kept: of every document those of the rarest test terms (in at most
-   RARE_ITEMS items), of documents with enough of one item's rare terms those of all test terms.
-2. The document frequency of the rare terms is counted over all documents, and each item gets the rarest share of its
-   terms as anchors; ranks, not absolute counts, so that an item leaked into very many documents keeps its anchors.
-3. Anchor lists are intersected after subtracting each anchor's offset in the item: hits of one passage agree in the
-   adjusted position up to the words that were put in or lost.
+   position).  Each item word weighs the more the fewer items have it.  A document whose distinct words could fill a
+   passage of an item gets postings of all test terms; no document without them can hold a passage that counts.
+2. The document frequency of the item terms is counted, and each item takes its rarest terms as anchors until they hold more
+   than half of the weight of every stretch that could count.  So any passage that counts has one of them, whatever the
+   corpus holds: the frequency sets only the order.
+3. Anchor lists are intersected with the other terms after subtracting the offsets in the item: hits of one passage agree in
+   the adjusted position up to the words that were put in or lost.
 4. Candidates are aligned in order; exact phrases and proximity matches are told apart by whether every word matched.
 
 The test set is broadcast; its size is a checked bound (MAX_ITEM_WORDS).  Texts are processed whole and no document,
@@ -16,27 +17,26 @@ are found under each of their ids.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm.passages import best_passage
 from starloom.llm.subtitles import fold, spoken_text, words
 from starloom.plans.durable import durable, spread
 
-RARE_ITEMS = 2  # a rare test term occurs in at most so many items
-LEAST_RARE = 3  # distinct rare terms of one item that make its document worth a closer look
-ANCHOR_SHARE = 1 / 3  # the rarest part of an item's distinct terms
-ANCHOR_HITS = 0.25  # part of the anchors that a candidate has around one adjusted position
 SHARE = 0.48  # at least half of an item, less a word lost at an end; a quote of a third is no leak
 DENSITY = 0.68  # part of the words of a passage that must match; the rest may be misspelt or missing
-ANCHOR_DENSITY = 0.5  # part of the anchors inside a passage that must match
+WEIGHT_DENSITY = 0.6  # part of the weight of a passage that must match: names and facts, not only the common words
 CLOSE_STEPS = 0.5  # part of the steps of a passage that go to one of the next two item words within four positions
+DRIFT = 10  # positions that a passage takes for each item word at most: CLOSE_STEPS of its steps are 4 long, the others 16
 MAX_ITEM_WORDS = 2_000_000
 
 
@@ -51,91 +51,106 @@ def item_terms(items: DataFrame, item: str, text: str) -> dict[int, list[str]]:
     return found
 
 
+def _least(length: int) -> int:
+    """Words from the first to the last of the shortest passage that counts; below SHARE it is a half that lost its end word."""
+    return min(math.ceil(SHARE * length - 1e-9), max((length + 1) // 2 - 1, length // 3 + 1))
+
+
+def _can_fill(present: np.ndarray, weights: np.ndarray) -> bool:
+    """Whether some stretch of an item has enough words and weight among the present ones (a bound that no passage escapes)."""
+    size = _least(len(present))
+    words_over = np.concatenate(([0.0], np.cumsum(present - DENSITY)))
+    weight_over = np.concatenate(([0.0], np.cumsum(weights * (present - WEIGHT_DENSITY))))
+    for start in range(len(present) - size + 1):
+        if ((words_over[start + size :] >= words_over[start] - 1e-6) & (weight_over[start + size :] >= weight_over[start] - 1e-6)).any():
+            return True
+    return False
+
+
 class TestVocabulary:
-    """Term numbers of the test set, with the items that have each rare term."""
+    """Term numbers of the test set, the weight of each term and the items that have it."""
 
     def __init__(self, terms: dict[int, list[str]]) -> None:
         self.number = {w: n for n, w in enumerate(sorted({w for ws in terms.values() for w in ws}))}
-        spread = Counter(w for ws in terms.values() for w in set(ws))
-        self.rare_items: dict[int, list[int]] = defaultdict(list)
-        for item, ws in terms.items():
-            for w in set(ws):
-                if spread[w] <= RARE_ITEMS:
-                    self.rare_items[self.number[w]].append(item)
-        self.items = {item: [self.number[w] for w in ws] for item, ws in terms.items()}
+        self.items = {item: [self.number[w] for w in ws] for item, ws in terms.items() if ws}
+        spread = Counter(t for ts in self.items.values() for t in set(ts))
+        self.weight = np.array([math.log1p(len(self.items) / spread[t]) ** 3 for t in range(len(self.number))])
+        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, ts in enumerate(self.items.values()):
+            for t, n in Counter(ts).items():
+                places[t].append((k, n))
+        self.places = {t: np.array(x) for t, x in places.items()}
+        self.keys = list(self.items)
+        self.sequences = [np.array(ts) for ts in self.items.values()]
+        self.least_words = np.array([DENSITY * _least(len(ts)) for ts in self.sequences])
+        self.least_weight = np.array([WEIGHT_DENSITY * self._lightest(ts) for ts in self.sequences])
+
+    def _lightest(self, sequence: np.ndarray) -> float:
+        total = np.concatenate(([0.0], np.cumsum(self.weight[sequence])))
+        size = _least(len(sequence))
+        return float((total[size:] - total[:-size]).min())
+
+    def possible(self, known: set[int]) -> list[int]:
+        """Items of which some stretch could be filled with the known terms."""
+        if not known:
+            return []
+        terms = np.array(sorted(known))
+        lists = [self.places[t] for t in terms.tolist()]
+        sizes = [len(x) for x in lists]
+        at = np.concatenate(lists)
+        n = np.bincount(at[:, 0], at[:, 1], len(self.keys))
+        weight = np.bincount(at[:, 0], at[:, 1] * np.repeat(self.weight[terms], sizes), len(self.keys))
+        found = []
+        for k in np.flatnonzero((n >= self.least_words - 1e-6) & (weight >= self.least_weight - 1e-6)).tolist():
+            sequence = self.sequences[k]
+            if _can_fill(np.isin(sequence, terms).astype(float), self.weight[sequence]):
+                found.append(self.keys[k])
+        return found
+
+    def anchors(self, item: int, frequency: dict[int, int]) -> set[int]:
+        """The rarest terms of an item by document frequency that no passage that counts can do without."""
+        sequence = np.array(self.items[item])
+        order = sorted(set(self.items[item]), key=lambda t: (frequency.get(t, 0), t))
+        low, high = 1, len(order)
+        while low < high:
+            middle = (low + high) // 2
+            if _can_fill((~np.isin(sequence, order[:middle])).astype(float), self.weight[sequence]):
+                low = middle + 1
+            else:
+                high = middle
+        return set(order[:low])
 
 
 def postings(documents: DataFrame, doc: str, text: str, vocabulary: TestVocabulary) -> DataFrame:
-    """(doc, rare, terms, positions): rare test terms of each document that has any, and all test terms with positions where
-    LEAST_RARE of them belong to one item (else null)."""
-    shared = documents.sparkSession.sparkContext.broadcast((vocabulary.number, dict(vocabulary.rare_items)))
+    """(doc, items, terms, positions) of each document whose words could fill a passage of those items."""
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
     kind = documents.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rare_items = shared.value
+        known = shared.value
+        number = known.number
         for batch in batches:
-            ids, rares, terms, places = [], [], [], []
+            ids, items, terms, places = [], [], [], []
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                spoken = words(spoken_text(body))
-                known = {number[w] for w in set(spoken) if w in number}
-                rare = sorted(known & rare_items.keys())
-                if not rare:
-                    continue
-                per_item = Counter(i for t in rare for i in rare_items[t])
-                at = None
-                if max(per_item.values()) >= LEAST_RARE:
-                    at = [(p, number[w]) for p, w in enumerate(spoken) if w in number]
-                ids.append(key)
-                rares.append(rare)
-                terms.append(None if at is None else [t for _, t in at])
-                places.append(None if at is None else [p for p, _ in at])
-            lists = [pa.array(x, pa.list_(pa.int32())) for x in (rares, terms, places)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), *lists], ["doc", "rare", "terms", "positions"])
+                at = [(p, number[w]) for p, w in enumerate(words(spoken_text(body))) if w in number]
+                possible = known.possible({t for _, t in at})
+                if possible:
+                    ids.append(key)
+                    items.append(possible)
+                    terms.append([t for _, t in at])
+                    places.append([p for p, _ in at])
+            lists = [pa.array(x, pa.list_(k)) for x, k in ((items, pa.int64()), (terms, pa.int32()), (places, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), *lists], ["doc", "items", "terms", "positions"])
 
     source = documents.select(F.col(doc).alias("doc"), F.col(text).alias("text")).filter("text is not null")
-    return spread(source).mapInArrow(run, f"doc {kind}, rare array<int>, terms array<int>, positions array<int>")
-
-
-def anchors(index: DataFrame, vocabulary: TestVocabulary) -> DataFrame:
-    """(item, term, offsets, n_anchors): the rarest terms of each item by document frequency over the whole corpus."""
-    spark = index.sparkSession
-    listed = [
-        (item, t, [o for o, x in enumerate(ts) if x == t], len(set(ts)))
-        for item, ts in vocabulary.items.items()
-        for t in sorted(set(ts))
-        if t in vocabulary.rare_items
-    ]
-    terms = spark.createDataFrame(listed, "item bigint, term int, offsets array<int>, n_terms int")
-    frequency = index.select(F.explode("rare").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "term")  # words of one item
-    ranked = terms.join(frequency, "term", "left").withColumn("_rank", F.row_number().over(order))
-    kept = ranked.filter(F.col("_rank") <= F.ceil(F.col("n_terms") * ANCHOR_SHARE))
-    return kept.withColumn("n_anchors", F.count(F.lit(1)).over(Window.partitionBy("item"))).select("item", "term", "offsets", "n_anchors")
-
-
-def candidates(index: DataFrame, chosen: DataFrame, widths: dict[int, int]) -> DataFrame:
-    """(doc, item): documents in which enough anchors agree in their adjusted position.
-
-    Adjusted positions are counted in overlapping ranges twice as wide as the item, so that a passage with words put in or
-    lost falls whole into one of them.
-    """
-    spark = index.sparkSession
-    width = F.broadcast(spark.createDataFrame(list(widths.items()) or [(0, 1)], "item bigint, width int").filter("width > 0"))
-    lists = (
-        index.filter("terms is not null")
-        .select("doc", F.explode(F.arrays_zip("terms", "positions")).alias("_p"))
-        .select("doc", F.col("_p.terms").alias("term"), F.col("_p.positions").alias("position"))
-    )
-    hits = (
-        lists.join(F.broadcast(chosen), "term")  # at most one row per distinct word of the bounded test set
-        .withColumn("offset", F.explode("offsets"))
-        .join(width, "item")
-        .withColumn("_at", F.floor((F.col("position") - F.col("offset")) / F.col("width")))
-        .withColumn("_range", F.explode(F.array(F.col("_at"), F.col("_at") - 1)))
-    )
-    counted = hits.groupBy("doc", "item", "_range", "n_anchors").agg(F.count_distinct("term").alias("_n"))
-    enough = F.greatest(F.lit(2), F.col("n_anchors") * ANCHOR_HITS)
-    return counted.filter(F.col("_n") >= enough).select("doc", "item").distinct()
+    return spread(source).mapInArrow(run, f"doc {kind}, items array<bigint>, terms array<int>, positions array<int>")
+
+
+def anchors(index: DataFrame, vocabulary: TestVocabulary) -> dict[int, set[int]]:
+    """Anchors of each item; the frequencies are at most one per distinct word of the bounded test set."""
+    counted = index.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    frequency = {row["term"]: row["df"] for row in counted.toLocalIterator()}
+    return {item: vocabulary.anchors(item, frequency) for item in vocabulary.items}
 
 
 def _close(places: list[int], place: int, reach: int) -> bool:
@@ -153,17 +168,12 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc: str, text: str, item
     terms = item_terms(items, item, item_text)
     vocabulary = TestVocabulary(terms)
     index = durable(postings(documents, doc, text, vocabulary))
-    chosen = durable(anchors(index, vocabulary))
-    widths = {i: max(len(ts), 1) for i, ts in vocabulary.items.items()}
-    found = candidates(index, chosen, widths).groupBy("doc").agg(F.collect_list("item").alias("items"))  # items of one document
-    anchor_terms: dict[int, set[int]] = defaultdict(set)
-    for row in chosen.select("item", "term").toLocalIterator():  # within the checked bound of the test set
-        anchor_terms[row["item"]].add(row["term"])
-    shared = documents.sparkSession.sparkContext.broadcast((vocabulary.items, dict(anchor_terms)))
+    chosen = anchors(index, vocabulary)
+    shared = documents.sparkSession.sparkContext.broadcast((vocabulary.items, chosen, vocabulary.weight))
     kind = documents.schema[doc].dataType.simpleString()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequences, anchored = shared.value
+        sequences, anchored, weight = shared.value
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for key, named, ts, ps in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -173,19 +183,20 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc: str, text: str, item
                 for number in named:
                     sequence = sequences[number]
                     length = len(sequence)
-                    marks = anchored[number]
-                    offsets = {o for o, t in enumerate(sequence) if t in marks}
-                    near = sorted(p - o for o in offsets for p in where.get(sequence[o], ()))
-                    hits = [(p, o) for o, t in enumerate(sequence) for p in where.get(t, ()) if _close(near, p - o, length)]
-                    first, last, chain = best_passage(hits, offsets)
+                    near = sorted(p - o for o, t in enumerate(sequence) if t in anchored[number] for p in where.get(t, ()))
+                    heaviest = max(weight[t] for t in sequence)
+                    names = {o for o, t in enumerate(sequence) if weight[t] >= heaviest / 2}
+                    hits = [(p, o) for o, t in enumerate(sequence) for p in where.get(t, ()) if _close(near, p - o, DRIFT * length)]
+                    first, last, chain = best_passage(hits, names)
                     span = last - first + 1 if chain else 0
-                    inside = sum(first <= o <= last for o in offsets)
-                    matched_marks = sum(o in offsets for _, o in chain)
+                    inside = sum(weight[t] for t in sequence[first : last + 1])
+                    matched = sum(weight[sequence[o]] for _, o in chain)
                     steps = [(q - p <= 4 and r - o <= 2) for (p, o), (q, r) in pairwise(chain)]
                     if (
-                        span >= SHARE * length
+                        span >= (_least(length) if len(chain) == span else SHARE * length)
                         and len(chain) >= DENSITY * span
-                        and matched_marks >= max(2, ANCHOR_DENSITY * inside)
+                        and len(chain) >= 2
+                        and matched >= WEIGHT_DENSITY * inside - 1e-6
                         and sum(steps) >= CLOSE_STEPS * len(steps)
                     ):
                         for values, value in zip(out, (key, number, span, len(chain), length), strict=True):
@@ -195,8 +206,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc: str, text: str, item
                 [pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["doc", "item", "span", "matched", "n_words"]
             )
 
-    joined = found.join(index.select("doc", "terms", "positions").filter("terms is not null"), "doc")
-    aligned = joined.select("doc", "items", "terms", "positions").mapInArrow(
+    aligned = index.select("doc", "items", "terms", "positions").mapInArrow(
         align, f"doc {kind}, item bigint, span int, matched int, n_words int"
     )
     how = F.when((F.col("matched") == F.col("n_words")), "exact").when(F.col("matched") == F.col("span"), "phrase").otherwise("proximity")

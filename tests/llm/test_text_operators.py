@@ -129,6 +129,19 @@ def test_leaks_against_planted_cases(spark):
     assert L.find_leaks(frame, tests.limit(0), "doc_id", "text", "item_id", "text").count() == 0
 
 
+def leak_pairs(spark, docs, items):
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    tests = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    return {(r["doc_id"], r["item_id"]) for r in L.find_leaks(frame, tests, "doc_id", "text", "item_id", "text").collect()}
+
+
+@pytest.mark.parametrize("half", [0, 1])
+def test_a_half_copied_very_often_is_found(spark, half):
+    names = [f"{a}{b}" for a in ("bra", "klo", "mu", "zi", "fre", "tas") for b in ("don", "vik", "lem", "sur", "pag")]
+    docs = [" ".join(names[15 * half :][:15])] * 40
+    assert leak_pairs(spark, docs, {1: " ".join(names), 2: "quite another text about nothing at all"}) == {(d, 1) for d in range(40)}
+
+
 def test_large_test_sets_are_refused(spark, monkeypatch):
     monkeypatch.setattr(L, "MAX_ITEM_WORDS", 3)
     with pytest.raises(ValueError):
