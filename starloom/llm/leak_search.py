@@ -38,6 +38,7 @@ WEIGHT_DENSITY = 0.6  # part of the weight of a passage that must match: names a
 CLOSE_STEPS = 0.5  # part of the steps of a passage that go to one of the next two item words within four positions
 DRIFT = 10  # positions that a passage takes for each item word at most: CLOSE_STEPS of its steps are 4 long, the others 16
 MAX_ITEM_WORDS = 2_000_000
+SQUARE = 200  # items up to so many words have all their stretches compared at once
 
 
 def item_terms(items: DataFrame, item: str, text: str) -> dict[int, list[str]]:
@@ -61,6 +62,9 @@ def _can_fill(present: np.ndarray, weights: np.ndarray) -> bool:
     size = _least(len(present))
     words_over = np.concatenate(([0.0], np.cumsum(present - DENSITY)))
     weight_over = np.concatenate(([0.0], np.cumsum(weights * (present - WEIGHT_DENSITY))))
+    if len(present) <= SQUARE:
+        rising = (words_over[None, :] >= words_over[:, None] - 1e-6) & (weight_over[None, :] >= weight_over[:, None] - 1e-6)
+        return bool(np.triu(rising, size).any())
     for start in range(len(present) - size + 1):
         if ((words_over[start + size :] >= words_over[start] - 1e-6) & (weight_over[start + size :] >= weight_over[start] - 1e-6)).any():
             return True

@@ -142,6 +142,29 @@ def test_a_half_copied_very_often_is_found(spark, half):
     assert leak_pairs(spark, docs, {1: " ".join(names), 2: "quite another text about nothing at all"}) == {(d, 1) for d in range(40)}
 
 
+def test_halves_with_few_names_are_found(spark):
+    rows = spark.read.parquet(f"{SMALL}/eval_items.parquet").select("item_id", "text").collect()
+    items = {r["item_id"]: r["text"] for r in rows}
+    docs, planted = [], set()
+    for i in (42, 58, 211, 230):
+        ws = words(fold(items[i]))
+        half = (len(ws) + 1) // 2
+        for start in range(len(ws) - half + 1):
+            window = ws[start : start + half]
+            others = {w for j, text in items.items() if j != i for w in words(fold(text))}
+            names = [k for k, w in enumerate(window) if w not in others]
+            for k in [None, *names]:
+                planted.add((len(docs), i))
+                docs.append(" ".join("xq" + w[::-1] if n == k else w for n, w in enumerate(window)))
+    assert leak_pairs(spark, docs, items) == planted
+
+
+def test_items_that_share_all_their_words_are_found(spark):
+    ws = [a + b for a in ("bra", "klo", "mu", "zi") for b in ("don", "vik", "lem", "sur", "pag")]
+    items = {1: " ".join(ws), 2: " ".join(ws[::-1]), 3: " ".join(ws[7 * k % 20] for k in range(20))}
+    assert leak_pairs(spark, [items[1], items[2], items[3]], items) == {(0, 1), (1, 2), (2, 3)}
+
+
 def test_large_test_sets_are_refused(spark, monkeypatch):
     monkeypatch.setattr(L, "MAX_ITEM_WORDS", 3)
     with pytest.raises(ValueError):
