@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.operators.running import linear_quantiles, running_sums
+from starloom.plans.durable import durable
 
 
 UNROLLED = 64
@@ -141,6 +144,68 @@ def nearest_template(rows: DataFrame, templates: DataFrame, features: Sequence[s
     return joined.select(*[F.col(c) for c in rows.columns], F.col("_best.id").alias(template), F.sqrt("_best.d").alias("distance"))
 
 
+def nearest_in_plane(rows: DataFrame, templates: DataFrame, a: str, b: str, template: str) -> DataFrame:
+    """Rows with the nearest of any number of templates in the plane of a and b (smallest id of equals), and its distance.
+
+    Templates are put in square cells of about one each.  A place looks into rings of cells around its own that double in
+    width until the best distance is not larger than the way to the edge of the ring.  Only the places that are not proven
+    go to the next round, at a cell size of the ring's width, where each is joined with the nine cells around it; the last round's
+    cell holds the whole library, so it always ends.  Places without templates, or with a null or NaN, have a null template.
+    """
+    kind = templates.schema[template].dataType
+    number = lambda c: F.col(c).cast("double")
+    good = lambda x, y: x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    library = templates.select(number(a).alias("_ta"), number(b).alias("_tb"), F.col(template).alias("_id")).filter(good(F.col("_ta"), F.col("_tb")))
+    library = durable(library.groupBy("_ta", "_tb").agg(F.min("_id").alias("_id")))
+    box = library.agg(F.count(F.lit(1)), F.min("_ta"), F.max("_ta"), F.min("_tb"), F.max("_tb")).first()
+    places = rows.select(number(a).alias("_a"), number(b).alias("_b")).distinct()
+    if not box[0]:
+        found = places.select("_a", "_b", F.lit(None).cast(kind).alias("_id"), F.lit(None).cast("double").alias("_d")).limit(0)
+    else:
+        found = _search_rings(places.filter(good(F.col("_a"), F.col("_b"))), library, box)
+    keyed = rows.withColumns({"_ka": number(a), "_kb": number(b)})
+    joined = keyed.join(found, F.col("_ka").eqNullSafe(F.col("_a")) & F.col("_kb").eqNullSafe(F.col("_b")), "left")
+    return joined.select(*[F.col(c) for c in rows.columns], F.col("_id").alias(template), F.sqrt("_d").alias("distance"))
+
+
+def _search_rings(places: DataFrame, library: DataFrame, box: tuple) -> DataFrame:
+    """(_a, _b, _id, _d): nearest of the library for each distinct place, _d squared; box: count and bounds of the library."""
+    count, low_a, high_a, low_b, high_b = box
+    wide, high = high_a - low_a, high_b - low_b
+    whole = max(wide, high)
+    size = max(math.sqrt(wide * high / count), whole / count) or 1.0
+    # a place outside the library is searched from the nearest point of its box; rings grow around that
+    to_box = {"_ca": F.greatest(F.lit(low_a), F.least(F.lit(high_a), F.col("_a"))), "_cb": F.greatest(F.lit(low_b), F.least(F.lit(high_b), F.col("_b")))}
+    left = places.withColumns(to_box)
+    done = []
+    steps = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    cell = lambda c, low: F.floor((F.col(c) - F.lit(low)) / F.lit(size)).cast("bigint")
+    while True:
+        last = size > whole
+        cells = library.withColumns({"_la": cell("_ta", low_a), "_lb": cell("_tb", low_b)})
+        near = left.withColumns({"_x": cell("_ca", low_a), "_y": cell("_cb", low_b)}).withColumn("_s", steps)
+        near = near.withColumns({"_la": F.col("_x") + F.col("_s.i"), "_lb": F.col("_y") + F.col("_s.j")})
+        da, db = F.col("_ta") - F.col("_a"), F.col("_tb") - F.col("_b")
+        d = da * da + db * db
+        best = near.join(cells, ["_la", "_lb"], "left").groupBy("_a", "_b", "_ca", "_cb", "_x", "_y").agg(
+            F.min(F.when(F.col("_id").isNotNull(), F.struct(d.alias("d"), F.col("_id").alias("id")))).alias("_best")
+        )
+        if last:
+            return reduce(DataFrame.unionByName, [*done, best.select("_a", "_b", F.col("_best.id").alias("_id"), F.col("_best.d").alias("_d"))])
+        # templates outside the nine cells are at least this far from the place, as the box lies on one side of it
+        edge = F.least(
+            F.col("_ca") - (F.lit(low_a) + (F.col("_x") - 1) * size), F.lit(low_a) + (F.col("_x") + 2) * size - F.col("_ca"),
+            F.col("_cb") - (F.lit(low_b) + (F.col("_y") - 1) * size), F.lit(low_b) + (F.col("_y") + 2) * size - F.col("_cb"),
+        )
+        beyond = (F.col("_a") - F.col("_ca")) ** 2 + (F.col("_b") - F.col("_cb")) ** 2 + edge * edge
+        best = durable(best.withColumn("_sure", F.coalesce(F.col("_best.d") < beyond * (1 - 1e-9), F.lit(False))))
+        done.append(best.filter("_sure").select("_a", "_b", F.col("_best.id").alias("_id"), F.col("_best.d").alias("_d")))
+        left = best.filter(~F.col("_sure")).select("_a", "_b", "_ca", "_cb")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        size *= 2
+
+
 def range_join(
     left: DataFrame, right: DataFrame, x: str, y: str, rx: str, ry: str, radius: float, equal: Sequence[tuple[str, str]] = ()
 ) -> DataFrame:

@@ -187,6 +187,19 @@ def nearest_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.nearest_template(rows, library, ["a", "b"], "template").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "template").distinct()
 
 
+@query("nearest_template_all", "WITH t AS (SELECT p_partkey AS template, p_size / 10.0 AS a, p_retailprice / 200.0 AS b FROM part), c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity / 10.0 AS a, l_extendedprice / 10000.0 AS b FROM lineitem) "
+       "SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, arg_min(template, {'d': (t.a - c.a) * (t.a - c.a) + (t.b - c.b) * (t.b - c.b), 'i': template}) AS template FROM c, t GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, c.a, c.b")
+def nearest_template_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closest of all templates for each row."""
+    library = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("template"), (F.col("p_size") / 10.0).alias("a"), (F.col("p_retailprice") / 200.0).alias("b")
+    )
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity") / 10.0).alias("a"), (F.col("l_extendedprice") / 10000.0).alias("b")
+    )
+    return T.nearest_in_plane(rows, library, "a", "b", "template").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "template").distinct()
+
+
 @query("fibre_neighbours", f"WITH {STARS_SQL}, f AS (SELECT DISTINCT s_suppkey AS fibre, (s_suppkey * 7 % 64) / 4.0 - 8.0 AS fx, (s_suppkey * 13 % 64) / 4.0 - 8.0 AS fy FROM supplier) "
        "SELECT fibre, count(*) AS n, round(sum(mass * exp(-0.5 * (pow(x - fx, 2) + pow(y - fy, 2)))) / sum(exp(-0.5 * (pow(x - fx, 2) + pow(y - fy, 2)))), 3) AS flux FROM f JOIN s ON abs(x - fx) <= 1 AND abs(y - fy) <= 1 AND sqrt(pow(x - fx, 2) + pow(y - fy, 2)) <= 1 GROUP BY 1")
 def fibre_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,6 +256,25 @@ def test_nearest_template(spark, monkeypatch, unrolled):
     assert [r["t"] for r in T.nearest_template(rows, library.limit(0), ["a", "b"], "t").collect()] == [None] * 3
 
 
+@pytest.mark.parametrize("shape", ["plane", "line", "point", "clusters"])
+def test_nearest_in_plane_against_brute_force(spark, shape):
+    rng = np.random.default_rng(4)
+    library = rng.integers(0, 40, (300, 2)) / 4.0
+    if shape == "line":
+        library[:, 1] = 2.0
+    if shape == "point":
+        library[:] = 3.0
+    if shape == "clusters":
+        library[:150] = library[:150] / 1000 + 500
+    places = np.concatenate((rng.random((100, 2)) * 10, rng.normal(0, 300, (30, 2)), library[:20]))
+    templates = spark.createDataFrame([(k, *map(float, t)) for k, t in enumerate(library)], "t int, a double, b double")
+    rows = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(places)] + [(999, None, 1.0)], "k int, a double, b double")
+    found = {r["k"]: r["t"] for r in T.nearest_in_plane(rows, templates, "a", "b", "t").collect()}
+    expected = {k: int(np.argmin(((library - p) ** 2).sum(axis=1))) for k, p in enumerate(places)}
+    assert found == expected | {999: None}
+    assert {r["t"] for r in T.nearest_in_plane(rows, templates.limit(0), "a", "b", "t").collect()} == {None}
+
+
 def test_range_join_against_brute_force(spark):
     rng = np.random.default_rng(9)
     a, b = rng.uniform(-3, 3, (80, 2)), rng.uniform(-3, 3, (60, 2))
