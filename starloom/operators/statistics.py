@@ -260,3 +260,28 @@ def kernel_discrepancy(df: DataFrame, key: str, vector: str, side: str, scales:
     )
     sign = F.when(F.col(side) == F.col("_other"), 1).otherwise(-1)
     return sums.agg(F.sum(sign * F.col("_k") / F.col("_n")).alias("mmd"))
+
+
+def kernel_discrepancy_all(df: DataFrame, vector: str, side: str, scales: Sequence[float], block: int = 64) -> DataFrame:
+    """(mmd): kernel_discrepancy of any number of vectors; null vectors and sides are left out.
+
+    Every pair is counted.  The vectors are written in blocks of at most block, and blocks are paired with blocks partition
+    by partition, so no side is collected or broadcast; the work grows with the square of the vectors.
+    """
+    valid = df.filter(F.col(vector).isNotNull() & F.col(side).isNotNull()).select(vector, side)
+    dealt = valid.repartition(valid.sparkSession.sparkContext.defaultParallelism)
+    numbered = durable(dealt.withColumn("_n", F.monotonically_increasing_id()))
+    blocks = durable(numbered.groupBy(side, F.floor(F.col("_n") / block).alias("_b")).agg(F.collect_list(vector).alias("_es")))  # at most block vectors each
+    rows = blocks.select(F.col(side).alias("_s"), F.explode("_es").alias("_e"))
+    others = blocks.select(F.col(side).alias("_t"), F.col("_es").alias("_fs"))
+
+    def kernel(x: Column) -> Column:
+        d = F.aggregate(F.zip_with("_e", x, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+        parts = [F.exp(-d / (2 * s * s)) for s in scales]
+        return sum(parts[1:], parts[0])
+
+    pairs = rows.crossJoin(others.hint("shuffle_replicate_nl"))
+    sums = pairs.groupBy("_s", "_t").agg(
+        F.sum(F.aggregate(F.transform("_fs", kernel), F.lit(0.0), lambda s, v: s + v)).alias("_k"), F.sum(F.size("_fs")).alias("_n")
+    )
+    return sums.agg(F.sum(F.when(F.col("_s") == F.col("_t"), 1).otherwise(-1) * F.col("_k") / F.col("_n")).alias("mmd"))

@@ -352,3 +352,11 @@ def mmd_rbf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernel discrepancy of two labels' vectors."""
     rows = table(spark, sf_dir, "embeddings").filter("label < 2").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), (F.col("label") % 2).alias("side"))
     return T.kernel_discrepancy(rows, "vec_id", "e", "side", _SCALES).select(F.round("mmd", 5).alias("mmd"))
+
+
+@query("mmd_rbf_all", "WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e, label % 2 AS side FROM embeddings), p AS (SELECT a.side AS s, b.side AS t, list_sum(list_transform(list_zip(a.e, b.e), lambda z: pow(z[1] - z[2], 2))) AS d FROM m a, m b) "
+       "SELECT round(sum(CASE WHEN s = t THEN k / n ELSE -k / n END), 5) AS mmd FROM (SELECT s, t, sum(" + " + ".join(f"exp(-d / {2 * s * s})" for s in _SCALES) + ") AS k, count(*) AS n FROM p GROUP BY 1, 2)")
+def mmd_rbf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel discrepancy of the vectors of even and of odd labels, all of them."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("e"), (F.col("label") % 2).alias("side"))
+    return T.kernel_discrepancy_all(rows, "e", "side", _SCALES).select(F.round("mmd", 5).alias("mmd"))

@@ -275,6 +275,18 @@ def test_nearest_in_plane_against_brute_force(spark, shape):
     assert {r["t"] for r in T.nearest_in_plane(rows, templates.limit(0), "a", "b", "t").collect()} == {None}
 
 
+def test_kernel_discrepancy_counts_every_pair(spark):
+    rng = np.random.default_rng(6)
+    vectors, sides = rng.normal(0, 1, (150, 4)), rng.integers(0, 2, 150)
+    df = spark.createDataFrame([(list(map(float, v)), int(s)) for v, s in zip(vectors, sides, strict=True)], "e array<double>, side int")
+    k = np.exp(-((vectors[:, None] - vectors[None]) ** 2).sum(axis=2) / 8)
+    x, y = sides == 0, sides == 1
+    expected = k[x][:, x].mean() + k[y][:, y].mean() - 2 * k[x][:, y].mean()
+    found = T.kernel_discrepancy_all(df, "e", "side", [2.0], 16)
+    assert found.first()["mmd"] == pytest.approx(expected)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+
+
 def test_range_join_against_brute_force(spark):
     rng = np.random.default_rng(9)
     a, b = rng.uniform(-3, 3, (80, 2)), rng.uniform(-3, 3, (60, 2))
