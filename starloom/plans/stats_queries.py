@@ -281,6 +281,32 @@ def simpson_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.simpson(_even_points(spark, sf_dir), ["kind"], "k", "flux", 0.25, legacy=True).select("kind", F.round("integral", 5).alias("integral"))
 
 
+def _all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean flux per kind on points six hours apart, to the last one."""
+    k = F.floor(F.col("wave") / 21600).cast("int")
+    return spectra(spark, sf_dir).groupBy("kind", k.alias("k")).agg(F.avg("flux").alias("flux"))
+
+
+def _simpson_all_sql(even: str) -> str:
+    return (
+        f"WITH {SPECTRA_SQL}, h AS (SELECT kind, floor(wave / 21600)::INTEGER AS k, avg(flux) AS flux FROM e GROUP BY 1, 2), m AS (SELECT *, max(k) OVER (PARTITION BY kind) AS z FROM h), n AS (SELECT *, z - z % 2 AS y FROM m) "
+        "SELECT kind, round(0.25 / 3 * (coalesce(sum(flux) FILTER (y > 0 AND (k = 0 OR k = y)), 0) + 4 * coalesce(sum(flux) FILTER (k % 2 = 1 AND k < y), 0) + "
+        f"2 * coalesce({even}, 0)) + 0.25 / 2 * coalesce(sum(flux) FILTER (z > y AND k >= y), 0), 5) AS integral FROM n GROUP BY 1"
+    )
+
+
+@query("simpson_all", _simpson_all_sql("sum(flux) FILTER (k % 2 = 0 AND k > 0 AND k < y)"))
+def simpson_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simpson's rule over the whole spectrum."""
+    return X.simpson_closed(_all_points(spark, sf_dir), ["kind"], "k", "flux", 0.25).select("kind", F.round("integral", 5).alias("integral"))
+
+
+@query("simpson_all_legacy", _simpson_all_sql("count(*) FILTER (k % 2 = 0 AND k > 0 AND k < y) * max(flux) FILTER (k = y - 1)"))
+def simpson_all_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole spectrum with the fault of old products, for comparison."""
+    return X.simpson_closed(_all_points(spark, sf_dir), ["kind"], "k", "flux", 0.25, legacy=True).select("kind", F.round("integral", 5).alias("integral"))
+
+
 _LINES = [200000.0, 900000.0, 1500000.0]
 
 

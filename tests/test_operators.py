@@ -240,6 +240,12 @@ def test_simpson_is_exact_for_cubics(spark):
     assert X.simpson(df, ["k"], "n", "v", 0.5).first()["integral"] == pytest.approx(4.0**4 / 4)
 
 
+def test_simpson_reaches_the_last_point(spark):
+    df = spark.createDataFrame([(n, k, float(k)) for n in (0, 1, 2, 119, 120) for k in range(n + 1)], "last int, n int, v double")
+    found = {r["last"]: r["integral"] for r in X.simpson_closed(df, ["last"], "n", "v", 0.5).collect()}
+    assert found == {n: pytest.approx(0.5 * n * n / 2) for n in (0, 1, 2, 119, 120)}
+
+
 def test_helpers_refuse_unbounded_libraries(spark):
     with pytest.raises(ValueError):
         T.nearest_template(spark.range(3), spark.range(5).withColumnRenamed("id", "t").withColumn("a", F.lit(1.0)), ["a"], "t", 4)
