@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.operators.grids import connected_cells, neighbours
@@ -89,6 +89,14 @@ def run_agreement(before: DataFrame, after: DataFrame, keys: Sequence[str], valu
     return joined.agg(F.count(F.lit(1)).alias("n"), guarded_corr("_a", "_b").alias("pearson"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(gap).alias("bias"))
 
 
+def next_runs(df: DataFrame, run: str, keys: Sequence[str], value: str) -> DataFrame:
+    """(run, next, keys, old, new) of the cells that two runs have, one after the other by number, both named in the data."""
+    runs = df.select(run).distinct().withColumn("_r", F.col(run).try_cast("bigint")).filter("_r is not null")
+    follow = runs.withColumn("next", F.lead(run).over(Window.orderBy("_r", run))).filter("next is not null").drop("_r")  # one row per run
+    before = df.select(run, *keys, F.col(value).alias("old")).join(follow, run)
+    return before.join(df.select(F.col(run).alias("next"), *keys, F.col(value).alias("new")), ["next", *keys]).select(run, "next", *keys, "old", "new")
+
+
 def role_inversion(df: DataFrame, keys: Sequence[str], radius: Column, inner: Column, outer: Column, factor: float = 0.9) -> DataFrame:
     """(keys, r_inner, r_outer, inverted): whether the outer role's mean radius lies under factor times the inner role's."""
     sums = df.groupBy(*keys).agg(

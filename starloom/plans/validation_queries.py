@@ -12,6 +12,7 @@ from starloom.operators import particles as P
 from starloom.operators import validation as V
 from starloom.plans.grid_queries import BINS, CLASSES, GRID_SQL, HARD_SQL, KEY, SET_SQL, SHARES_SQL, STACK_SQL, STEP, class_shares, hard_labels, signal_cells, stacked, star_grid
 from starloom.plans.particle_queries import EPS_SQL
+from starloom.operators.statistics import guarded_corr
 from starloom.plans.registry import Registry
 from starloom.plans.views import SPECTRA_SQL, STARS_SQL, spectra, stars
 
@@ -87,6 +88,27 @@ def run_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n", F.round("pearson", 5).alias("pearson"), F.round("rmse", 6).alias("rmse"), F.round("bias", 6).alias("bias"))
 
 
+_NEXT = ", r AS (SELECT snap, lead(snap) OVER (ORDER BY TRY_CAST(snap AS BIGINT), snap) AS next FROM (SELECT DISTINCT snap FROM {0} WHERE TRY_CAST(snap AS BIGINT) IS NOT NULL)), j AS (SELECT a.snap, r.next, a.{1} AS a, b.{1} AS b FROM {0} a JOIN r ON a.snap = r.snap JOIN {0} b ON b.snap = r.next AND a.iy = b.iy AND a.ix = b.ix)"
+
+
+@query("label_transitions_all", HARD_SQL + _NEXT.format("m", "label") + " SELECT snap, next, a AS old, b AS new, count(*) AS n, round(count(*) / any_value(t), 6) AS share FROM (SELECT *, count(*) OVER (PARTITION BY snap) AS t FROM j) GROUP BY 1, 2, 3, 4")
+def label_transitions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label changes of the cells from each snapshot to the next."""
+    counts = V.next_runs(hard_labels(spark, sf_dir), "snap", ["iy", "ix"], "label").groupBy("snap", "next", "old", "new").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("snap").agg(F.sum("n").alias("t"))
+    return counts.join(totals, "snap").select("snap", "next", "old", "new", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
+
+
+@query("run_agreement_all", SHARES_SQL + _NEXT.format("h", "disk") + " SELECT snap, next, count(*) AS n, round(CASE WHEN count(*) > 1 AND var_pop(a) > 0 AND var_pop(b) > 0 THEN corr(a, b) ELSE 0 END, 5) AS pearson, round(sqrt(avg(pow(b - a, 2))), 6) AS rmse, round(avg(b - a), 6) AS bias FROM j GROUP BY 1, 2")
+def run_agreement_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the disk shares of each snapshot with the next."""
+    gap = F.col("new") - F.col("old")
+    found = V.next_runs(class_shares(spark, sf_dir), "snap", ["iy", "ix"], "disk").groupBy("snap", "next").agg(
+        F.count(F.lit(1)).alias("n"), guarded_corr("old", "new").alias("pearson"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(gap).alias("bias")
+    )
+    return found.select("snap", "next", "n", F.round("pearson", 5).alias("pearson"), F.round("rmse", 6).alias("rmse"), F.round("bias", 6).alias("bias"))
+
+
 @query(
     "role_inversion",
     f"WITH {STARS_SQL}, f AS (SELECT galaxy_id, sqrt(x * x + y * y) AS r, mass, abs({EPS_SQL}) < 0.3 AS is_bulge, {EPS_SQL} >= 0.7 AS is_disk FROM s), "

@@ -17,6 +17,7 @@ from starloom.operators import particles as P
 from starloom.operators import running as R
 from starloom.operators import spectral as X
 from starloom.operators import statistics as T
+from starloom.operators import validation as V
 from starloom.sources import files
 from starloom.streaming import events as E
 
@@ -246,6 +247,12 @@ def test_simpson_reaches_the_last_point(spark):
     assert found == {n: pytest.approx(0.5 * n * n / 2) for n in (0, 1, 2, 119, 120)}
 
 
+def test_each_run_meets_the_next(spark):
+    df = spark.createDataFrame([(s, c, f"{s}{c}") for s in ("9", "10", "100") for c in (1, 2)] + [("x", 1, "x")], "snap string, c int, v string")
+    found = {tuple(r) for r in V.next_runs(df, "snap", ["c"], "v").collect()}
+    assert found == {(a, b, c, f"{a}{c}", f"{b}{c}") for a, b in (("9", "10"), ("10", "100")) for c in (1, 2)}
+
+
 def test_helpers_refuse_unbounded_libraries(spark):
     with pytest.raises(ValueError):
         T.nearest_template(spark.range(3), spark.range(5).withColumnRenamed("id", "t").withColumn("a", F.lit(1.0)), ["a"], "t", 4)
