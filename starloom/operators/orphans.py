@@ -8,7 +8,8 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.operators.heavy_keys import SAMPLED, heavy_cells, skew_join, split_by_weight
+from starloom.operators.heavy_keys import SAMPLED, heavy_hashes, join_heavy, key_hash, skew_join
+from starloom.plans.durable import durable
 
 
 def null_masks(refs: DataFrame, keys: Sequence[str], match: str = "simple") -> list[tuple[tuple[str, ...], DataFrame]]:
@@ -82,45 +83,84 @@ def live_spells(files: DataFrame, keys: Sequence[str], start: str, end: str) ->
     )
 
 
-def _thinned(spells: DataFrame, key: str, start: str, end: str, share: float = 0.001) -> DataFrame:
+def _thinned(spells: DataFrame, key: str, start: str, end: str, sampled: DataFrame, share: float = 0.001) -> DataFrame:
     """Registrations of keys with very many of them merged into spells; those of all other keys as they are."""
-    cells = heavy_cells(spells.sample(SAMPLED, seed=2).select(key, F.lit(1.0).alias("__sl_one")), key, ["__sl_one"], share)
-    if cells.isEmpty():
+    many = heavy_hashes(sampled, key, share)
+    if not many:
         return spells
-    many, few = split_by_weight(spells, key, cells)
-    merged = live_spells(many, [key], start, end).select(key, F.col("live_from").alias(start), F.col("live_to").alias(end))
-    return few.unionByName(merged)
+    is_hot = key_hash(key).isin(many)
+    merged = live_spells(spells.filter(is_hot), [key], start, end).select(key, F.col("live_from").alias(start), F.col("live_to").alias(end))
+    return spells.filter(~is_hot).unionByName(merged)
 
 
-def dated_orphans(refs: DataFrame, files: DataFrame, keys: Sequence[str], at: str, start: str, end: str, match: str = "simple") -> DataFrame:
+def _with_reasons(keyed: DataFrame, known: DataFrame, hot: list[int]) -> DataFrame:
+    """Rows of keyed (__sl_k, __sl_at, ...) without a spell of known (__sl_k, __sl_from, __sl_to) around their time, with __sl_first.
+
+    __sl_first is the first start of the key, null if there is none.  References of hot keys are neither shuffled for the
+    anti-join nor for the reason: both meet a broadcast of the hot keys' spells (counted first) and first starts (one row
+    per hot key).  The others and all their spells are shuffled by key once, for both.
+    """
+    around = "__sl_from <= __sl_at and __sl_at < __sl_to"
+
+    def firsts(spells: DataFrame) -> DataFrame:
+        return spells.groupBy("__sl_k").agg(F.min("__sl_from").alias("__sl_first"), F.max("__sl_to").alias("__sl_last"))
+
+    def absent(refs: DataFrame, spells: DataFrame) -> DataFrame:
+        right = spells.withColumnRenamed("__sl_k", "__sl_right_key")
+        return refs.join(right, F.expr(f"__sl_k = __sl_right_key and {around}"), "left_anti")
+
+    is_hot = key_hash("__sl_k").isin(hot) if hot else F.lit(False)
+    spells = known.filter(~is_hot).repartition("__sl_k")  # the one exchange of the spells, read by both joins
+    judged = absent(keyed.filter(~is_hot), spells).join(firsts(spells), "__sl_k", "left")
+    if hot:
+        few = durable(known.filter(is_hot))
+        lost = join_heavy(keyed.filter(is_hot), few, "__sl_k", "left_anti", around)
+        judged = judged.unionByName(lost.join(F.broadcast(firsts(few)), "__sl_k", "left"))  # one row per hot key
+    return judged
+
+
+def dated_orphans(
+    refs: DataFrame,
+    files: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    start: str,
+    end: str,
+    match: str = "simple",
+    samples: tuple[DataFrame, DataFrame] | None = None,
+    share: float = 0.01,
+) -> DataFrame:
     """References whose key is not live at their own time, with reason deleted, late or missing.
 
     deleted: live earlier; late: registered only afterwards; missing: never registered.  A reference without a time can't
     be placed and is no orphan.  Null keys follow match (see null_masks).  Result: columns of refs and reason; a column
-    of refs that is itself called reason is left out, other names may be any.
+    of refs that is itself called reason is left out, other names may be any.  Keys with many references or files are
+    told from samples (rows of refs and of files with the key columns; drawn here unless given).
     """
     refs = refs.drop("reason")
     forever = F.lit("9999-12-31 00:00:00").cast(files.schema[end].dataType)
+    drawn = samples or (refs.select(*keys).sample(SAMPLED, seed=1), files.select(*keys).sample(SAMPLED, seed=2))
     parts = []
     for filled, part in null_masks(refs.filter(F.col(at).isNotNull()), keys, match):
         if not filled:
             parts.append(part.withColumn("reason", F.lit("missing")))
             continue
+        by_key = lambda df: df.dropna(subset=list(filled)).select(F.struct(*filled).alias("__sl_k"))  # noqa: B023, E731
         spells = (
             files.dropna(subset=list(filled))
             .select(F.struct(*filled).alias("__sl_k"), F.col(start).alias("__sl_from"), F.coalesce(F.col(end), forever).alias("__sl_to"))
             .filter("__sl_from is not null and __sl_to > __sl_from")
         )
-        known = _thinned(spells, "__sl_k", "__sl_from", "__sl_to")
-        keyed = part.withColumn("__sl_k", F.struct(*filled))
-        orphans = skew_join(keyed, known, "__sl_k", "left_anti", f"__sl_from <= `{at}` and `{at}` < __sl_to")
-        # both ends are read, so that this and the join above share one exchange of the files
-        firsts = known.groupBy("__sl_k").agg(F.min("__sl_from").alias("__sl_first"), F.max("__sl_to").alias("__sl_last"))
-        placed = orphans.join(firsts, "__sl_k", "left")
+        known = _thinned(spells, "__sl_k", "__sl_from", "__sl_to", by_key(drawn[1]))
+        # the key columns travel once, inside the key
+        others = [F.col(c) for c in refs.columns if c not in filled and c != at]
+        keyed = part.select(F.struct(*filled).alias("__sl_k"), F.col(at).alias("__sl_at"), *others)
+        judged = _with_reasons(keyed, known, heavy_hashes(by_key(drawn[0]), "__sl_k", share))
         reason = (
-            F.when(F.col("__sl_first").isNull() | F.col("__sl_last").isNull(), "missing").when(F.col("__sl_first") <= F.col(at), "deleted").otherwise("late")
+            F.when(F.col("__sl_first").isNull() | F.col("__sl_last").isNull(), "missing").when(F.col("__sl_first") <= F.col("__sl_at"), "deleted").otherwise("late")
         )
-        parts.append(placed.select(*refs.columns, reason.alias("reason")))
+        back = {**{c: F.col(f"__sl_k.`{c}`") for c in filled}, at: F.col("__sl_at")}
+        parts.append(judged.select(*(back.get(c, F.col(c)).alias(c) for c in refs.columns), reason.alias("reason")))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

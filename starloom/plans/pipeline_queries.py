@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions.galaxies import galaxy_id, plain_path
-from starloom.operators.heavy_keys import heavy_totals, skew_join, skewed_totals, usable
-from starloom.operators.orphans import dated_orphans
+from starloom.operators.heavy_keys import SAMPLED, heavy_totals, skew_join, skewed_totals, usable
+from starloom.operators.orphans import dated_orphans, orphan_references
 from starloom.plans.registry import Registry
 from starloom.sources.tables import table
 
@@ -84,22 +84,30 @@ def p2_mass_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("galaxy_id", "pid", F.round(F.try_divide("mass", F.nullif("total_mass", F.lit(0.0))), 9).alias("mass_share"))
 
 
+
+def _drawn(rows: DataFrame, part: float) -> DataFrame:
+    return rows if part >= 1 else rows.sample(part, seed=1)
+
+
 REF_FIELDS = {"cube_path": "cube_files", "pipe3d_path": "pipe3d_files", "rss_path": "rss_files"}
 
 
-def path_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(manifest_id, listed_at, ref_field, file) for each of a record's three references; file is null for no reference."""
-    rows = table(spark, sf_dir, "manifest").select("manifest_id", "listed_at", *REF_FIELDS)
+def path_references(spark: SparkSession, sf_dir: str, part: float = 1.0) -> DataFrame:
+    """(manifest_id, listed_at, ref_field, file) for each of a record's three references; file is null for no reference.
+
+    part under 1 draws rows before their paths are looked at.
+    """
+    rows = _drawn(table(spark, sf_dir, "manifest"), part).select("manifest_id", "listed_at", *REF_FIELDS)
     each = F.explode(F.array(*(F.struct(F.lit(f).alias("ref_field"), F.col(f).alias("path")) for f in REF_FIELDS)))
     return rows.select("manifest_id", "listed_at", each.alias("_r")).select(
         "manifest_id", "listed_at", "_r.ref_field", plain_path(F.col("_r.path")).alias("file")
     )
 
 
-def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ref_field, file, registered_at, deleted_at) of the three file tables."""
+def stored_files(spark: SparkSession, sf_dir: str, part: float = 1.0) -> DataFrame:
+    """(ref_field, file, registered_at, deleted_at) of the three file tables, or of a part of their rows."""
     parts = [
-        table(spark, sf_dir, name).select(
+        _drawn(table(spark, sf_dir, name), part).select(
             F.lit(field).alias("ref_field"), plain_path(F.col("path")).alias("file"), "registered_at", "deleted_at"
         )
         for field, name in REF_FIELDS.items()
@@ -109,8 +117,9 @@ def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orphan_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan references of the manifest; a reference is the pair (ref_field, file), matched simply: no file, no reference."""
+    samples = path_references(spark, sf_dir, SAMPLED), stored_files(spark, sf_dir, SAMPLED)
     return dated_orphans(
-        path_references(spark, sf_dir), stored_files(spark, sf_dir), ["ref_field", "file"], "listed_at", "registered_at", "deleted_at"
+        path_references(spark, sf_dir), stored_files(spark, sf_dir), ["ref_field", "file"], "listed_at", "registered_at", "deleted_at", samples=samples
     )
 
 
@@ -156,3 +165,37 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.groupBy(
         F.replace("ref_field", F.lit("_path"), F.lit("_files")).alias("file_table"), F.date_format("listed_at", "yyyy-MM").alias("month"), "reason"
     ).agg(F.count(F.lit(1)).alias("n_orphans"))
+
+
+UNIT_KEY = ["snapshot", "subhalo_id", "view"]
+UNIT_NAME = "(?i)tng50[-_]0*(\\d+)[-_]0*(\\d+)[-_]0*(\\d+)[-_]0*(\\d+)"
+_UNIT_PARENTS = (
+    f"c AS (SELECT DISTINCT regexp_extract(path, '{UNIT_NAME}', 1)::INTEGER AS snapshot, regexp_extract(path, '{UNIT_NAME}', 2)::BIGINT AS subhalo_id, "
+    f"regexp_extract(path, '{UNIT_NAME}', 3)::INTEGER AS view FROM cube_files WHERE regexp_matches(path, '{UNIT_NAME}'))"
+)
+_UNIT_MATCHES = {
+    "simple": "subhalo_id IS NOT NULL AND view IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.snapshot = m.snapshot AND c.subhalo_id = m.subhalo_id AND c.view = m.view)",
+    "partial": "CASE WHEN subhalo_id IS NULL THEN NOT EXISTS (SELECT 1 FROM c WHERE c.snapshot = m.snapshot AND c.view = m.view) "
+    "ELSE NOT EXISTS (SELECT 1 FROM c WHERE c.snapshot = m.snapshot AND c.subhalo_id = m.subhalo_id AND c.view = m.view) END",
+    "full": "subhalo_id IS NULL OR NOT EXISTS (SELECT 1 FROM c WHERE c.snapshot = m.snapshot AND c.subhalo_id = m.subhalo_id AND c.view = m.view)",
+}
+
+
+@registry.query(
+    "p5_unit_matches",
+    f"WITH {_UNIT_PARENTS}, o AS ("
+    + " UNION ALL ".join(f"SELECT '{name}' AS match, snapshot, subhalo_id IS NULL AS partly_null FROM manifest m WHERE {where}" for name, where in _UNIT_MATCHES.items())
+    + ") SELECT match, snapshot, partly_null, count(*) AS n_orphans FROM o GROUP BY ALL",
+)
+def p5_unit_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest records whose unit (snapshot, subhalo_id, view) no stored cube has, under simple, partial and full match.
+
+    subhalo_id is null at times, so records fall into two null masks, each anti-joined on its filled columns.
+    """
+    records = table(spark, sf_dir, "manifest").select("manifest_id", *UNIT_KEY)
+    part = lambda k, kind: F.regexp_extract("path", UNIT_NAME, k).cast(kind)
+    stored = table(spark, sf_dir, "cube_files").filter(F.col("path").rlike(UNIT_NAME))
+    stored = stored.select(part(1, "int").alias("snapshot"), part(2, "bigint").alias("subhalo_id"), part(3, "int").alias("view"))
+    found = [orphan_references(records, stored, UNIT_KEY, match).withColumn("match", F.lit(match)) for match in ("simple", "partial", "full")]
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy("match", "snapshot", F.col("subhalo_id").isNull().alias("partly_null")).agg(F.count(F.lit(1)).alias("n_orphans"))

@@ -80,6 +80,33 @@ def test_skew_join_with_condition(skewed, spark, monkeypatch):
         H.skew_join(skewed, right, "key", "cross")
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_skew_join_beyond_the_broadcast_bound(skewed, spark, monkeypatch, how):
+    monkeypatch.setattr(H, "SAMPLED", 1.0)
+    monkeypatch.setattr(H, "FEW_ROWS", 0)
+    left = skewed.select("key", "a").repartition(7)
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 2), ("other", 4), (None, 5)], "key string, value int")
+    found = H.skew_join(left, right, "key", how)
+    assert "__sl_salt" in found._jdf.queryExecution().toString()
+    assert rows(found) == rows(left.join(right, "key", how))
+
+
+def test_only_right_rows_of_heavy_keys_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(H, "SAMPLED", 1.0)
+    kept = []
+    monkeypatch.setattr(H, "durable", lambda df: kept.append(df.count()) or df)
+    left = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("hot"), F.col("id") % 30)).otherwise(F.col("id").cast("string")).alias("key"))
+    right = spark.range(200_000).select(F.concat(F.lit("hot"), F.col("id")).alias("key"), "id")
+    assert H.skew_join(left, right, "key", "left_semi").count() == 30_000
+    assert kept == [15]
+
+
+def test_heavy_hashes(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 300, "hot").when(F.col("id") < 900, None).otherwise(F.col("id").cast("string")).alias("key"))
+    assert H.heavy_hashes(df, "key", 0.01) == [df.filter("id = 0").select(H.key_hash("key")).first()[0]]
+    assert H.heavy_hashes(df.limit(0), "key", 0.01) == []
+
+
 def brute_components(links):
     parent = {}
 
@@ -168,6 +195,27 @@ def test_dated_orphans_against_brute_force(spark, monkeypatch):
     assert orphans_of(spark, refs, files) == expected
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_one_missing_file_that_half_the_references_name(spark, monkeypatch, few):
+    from starloom.operators import orphans as O
+
+    monkeypatch.setattr(O, "SAMPLED", 1.0)
+    monkeypatch.setattr(H, "FEW_ROWS", few)
+    files = spark.createDataFrame([(f"f{i}", day(i % 9), day(20), i) for i in range(0, 300, 2)] + [("late", day(90), None, -1)], FILES)
+    refs = spark.range(2000).select(
+        F.col("id").cast("int"),
+        F.when(F.col("id") % 2 == 0, "gone").when(F.col("id") % 7 == 0, "late").otherwise(F.concat(F.lit("f"), F.col("id") % 300)).alias("k"),
+        F.lit(day(10)).alias("at"),
+    )
+    found = dated_orphans(refs, files, ["k"], "at", "start", "end")
+    assert found.columns == ["id", "k", "at", "reason"]
+    counts = {(r["k"] if r["k"] in ("gone", "late") else "f", r["reason"]): r["n"] for r in found.groupBy(F.when(F.col("k").isin("gone", "late"), F.col("k")).otherwise("f").alias("k"), "reason").agg(F.count("*").alias("n")).collect()}
+    late = sum(1 for i in range(1, 2000, 2) if i % 7 == 0)
+    assert counts == {("gone", "missing"): 1000, ("late", "late"): late, ("f", "missing"): 1000 - late}
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text if few else "__sl_salt" in text
+
+
 def test_live_spells_merge(spark):
     files = spark.createDataFrame([("a", day(0), day(2), 1), ("a", day(1), day(4), 1), ("a", day(4), day(5), 1), ("a", day(9), None, 1), ("a", day(9), None, 2)], FILES)
     found = [(r[1], r[2]) for r in sorted(live_spells(files, ["k"], "start", "end").collect())]
