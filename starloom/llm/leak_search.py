@@ -1,16 +1,19 @@
 """Evaluation texts leaking into training text: a distributed positional inverted index.
 
-1. Each document becomes the numbered words that are spoken in it (cue numbers, times, markup, noises and adverts take no
-   position).  Each item word weighs the more the fewer items have it.  A document whose distinct words could fill a
-   passage of an item gets postings of all test terms; no document without them can hold a passage that counts.
+1. build_index stores the postings of every document: its distinct words with their positions among the words that are
+   spoken in it (cue numbers, times, markup, noises and adverts take no position).  The index is partitioned by document,
+   knows nothing of any test set and can be searched for many of them; each search reads the index and no text.
 2. The document frequency of the item terms is counted, and each item takes its rarest terms as anchors until they hold more
-   than half of the weight of every stretch that could count.  So any passage that counts has one of them, whatever the
-   corpus holds: the frequency sets only the order.
-3. Anchor lists are intersected with the other terms after subtracting the offsets in the item: hits of one passage agree in
-   the adjusted position up to the words that were put in or lost.
-4. Candidates are aligned in order; exact phrases and proximity matches are told apart by whether every word matched.
-
-The test set is broadcast; its size is a checked bound (MAX_ITEM_WORDS).  Texts are processed whole and no document,
+   than half of the weight of every stretch that could count.  An item word weighs the more the fewer items have it.  So any
+   passage that counts has an anchor, whatever the corpus holds: the frequency sets only the order.
+3. Only documents with an anchor of an item, and with words enough for one of its stretches, are looked at for that item.
+   Anchor positions are intersected with those of the other terms after subtracting the offsets in the item: hits of one
+   passage agree in the adjusted position up to the words that were put in or lost.
+4. Candidates are aligned in order; exact phrases and proximity matches are told apart by the positions.
+
+Items with the same words are searched once and reported under each of their ids.  Items of fewer than SHORT words count
+only where they stand whole and word for word.  A test set of more than BLOCK_WORDS words is searched in blocks of items
+over the same index, so what is broadcast is bounded and no item is left out.  Texts are processed whole and no document,
 item or candidate is capped.  A null or empty text has no postings; items without words match nothing; repeated documents
 are found under each of their ids.
 """
@@ -21,45 +24,55 @@ import math
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm.passages import best_passage
-from starloom.llm.subtitles import fold, spoken_text, words
-from starloom.plans.durable import durable, spread
+from starloom.llm.subtitles import fold, spoken_parts, words
+from starloom.plans.durable import spread, stored
 
 SHARE = 0.48  # at least half of an item, less a word lost at an end; a quote of a third is no leak
 DENSITY = 0.68  # part of the words of a passage that must match; the rest may be misspelt or missing
 WEIGHT_DENSITY = 0.6  # part of the weight of a passage that must match: names and facts, not only the common words
 CLOSE_STEPS = 0.5  # part of the steps of a passage that go to one of the next two item words within four positions
 DRIFT = 10  # positions that a passage takes for each item word at most: CLOSE_STEPS of its steps are 4 long, the others 16
-MAX_ITEM_WORDS = 2_000_000
+SHORT = 5  # items of fewer words count only whole and word for word
+BLOCK_WORDS = 2_000_000  # item words that are searched, and broadcast, at once
 SQUARE = 200  # items up to so many words have all their stretches compared at once
+APART = 1000  # positions between the spoken words and those of lines in another script
 
 
-def item_terms(items: DataFrame, item: str, text: str) -> dict[int, list[str]]:
-    """Words of each item, in order; the test set must have at most MAX_ITEM_WORDS words."""
+def item_blocks(items: DataFrame, item: str, text: str) -> Iterator[dict[int, list[str]]]:
+    """Words of each item, in order, in blocks of items of about BLOCK_WORDS words together."""
     found, total = {}, 0
     for row in items.select(item, text).toLocalIterator():
         found[row[0]] = words(fold(row[1] or ""))
         total += len(found[row[0]])
-        if total > MAX_ITEM_WORDS:
-            raise ValueError(f"the test set has more than {MAX_ITEM_WORDS} words; search it in parts")
-    return found
+        if total >= BLOCK_WORDS:
+            yield found
+            found, total = {}, 0
+    if found:
+        yield found
 
 
 def _least(length: int) -> int:
     """Words from the first to the last of the shortest passage that counts; below SHARE it is a half that lost its end word."""
+    if length < SHORT:
+        return length
     return min(math.ceil(SHARE * length - 1e-9), max((length + 1) // 2 - 1, length // 3 + 1))
 
 
 def _can_fill(present: np.ndarray, weights: np.ndarray) -> bool:
     """Whether some stretch of an item has enough words and weight among the present ones (a bound that no passage escapes)."""
     size = _least(len(present))
+    if size == len(present):
+        return bool(present.all())
     words_over = np.concatenate(([0.0], np.cumsum(present - DENSITY)))
     weight_over = np.concatenate(([0.0], np.cumsum(weights * (present - WEIGHT_DENSITY))))
     if len(present) <= SQUARE:
@@ -72,49 +85,25 @@ def _can_fill(present: np.ndarray, weights: np.ndarray) -> bool:
 
 
 class TestVocabulary:
-    """Term numbers of the test set, the weight of each term and the items that have it."""
+    """Term numbers of a block of items, the weight of each term, and the distinct items (sequences) with the ids that share them."""
 
     def __init__(self, terms: dict[int, list[str]]) -> None:
-        self.number = {w: n for n, w in enumerate(sorted({w for ws in terms.values() for w in ws}))}
-        self.items = {item: [self.number[w] for w in ws] for item, ws in terms.items() if ws}
-        spread = Counter(t for ts in self.items.values() for t in set(ts))
-        self.weight = np.array([math.log1p(len(self.items) / spread[t]) ** 3 for t in range(len(self.number))])
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, ts in enumerate(self.items.values()):
-            for t, n in Counter(ts).items():
-                places[t].append((k, n))
-        self.places = {t: np.array(x) for t, x in places.items()}
-        self.keys = list(self.items)
-        self.sequences = [np.array(ts) for ts in self.items.values()]
-        self.least_words = np.array([DENSITY * _least(len(ts)) for ts in self.sequences])
-        self.least_weight = np.array([WEIGHT_DENSITY * self._lightest(ts) for ts in self.sequences])
-
-    def _lightest(self, sequence: np.ndarray) -> float:
-        total = np.concatenate(([0.0], np.cumsum(self.weight[sequence])))
-        size = _least(len(sequence))
-        return float((total[size:] - total[:-size]).min())
-
-    def possible(self, known: set[int]) -> list[int]:
-        """Items of which some stretch could be filled with the known terms."""
-        if not known:
-            return []
-        terms = np.array(sorted(known))
-        lists = [self.places[t] for t in terms.tolist()]
-        sizes = [len(x) for x in lists]
-        at = np.concatenate(lists)
-        n = np.bincount(at[:, 0], at[:, 1], len(self.keys))
-        weight = np.bincount(at[:, 0], at[:, 1] * np.repeat(self.weight[terms], sizes), len(self.keys))
-        found = []
-        for k in np.flatnonzero((n >= self.least_words - 1e-6) & (weight >= self.least_weight - 1e-6)).tolist():
-            sequence = self.sequences[k]
-            if _can_fill(np.isin(sequence, terms).astype(float), self.weight[sequence]):
-                found.append(self.keys[k])
-        return found
+        members: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        for item, ws in terms.items():
+            if ws:
+                members[tuple(ws)].append(item)
+        self.members = list(members.values())
+        self.terms = sorted({w for ws in members for w in ws})
+        number = {w: n for n, w in enumerate(self.terms)}
+        self.sequences = [np.array([number[w] for w in ws]) for ws in members]
+        spread = Counter(t for ts in self.sequences for t in set(ts.tolist()))
+        self.weight = np.array([math.log1p(len(self.sequences) / spread[t]) ** 3 for t in range(len(number))])
+        self.least_words = [DENSITY * _least(len(ts)) for ts in self.sequences]
 
     def anchors(self, item: int, frequency: dict[int, int]) -> set[int]:
         """The rarest terms of an item by document frequency that no passage that counts can do without."""
-        sequence = np.array(self.items[item])
-        order = sorted(set(self.items[item]), key=lambda t: (frequency.get(t, 0), t))
+        sequence = self.sequences[item]
+        order = sorted(set(sequence.tolist()), key=lambda t: (frequency.get(t, 0), t))
         low, high = 1, len(order)
         while low < high:
             middle = (low + high) // 2
@@ -125,36 +114,56 @@ class TestVocabulary:
         return set(order[:low])
 
 
-def postings(documents: DataFrame, doc: str, text: str, vocabulary: TestVocabulary) -> DataFrame:
-    """(doc, items, terms, positions) of each document whose words could fill a passage of those items."""
-    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
+def build_index(documents: DataFrame, doc: str, text: str) -> DataFrame:
+    """The positional index (doc, terms, counts, positions): per document its distinct words, how often each occurs and where.
+
+    positions holds the places of the first term, then of the second and so on.  Documents without words have no row.
+    """
     kind = documents.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        number = known.number
         for batch in batches:
-            ids, items, terms, places = [], [], [], []
+            ids, terms, counts, places, ends, place_ends = [], [], [], [], [0], [0]
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = [(p, number[w]) for p, w in enumerate(words(spoken_text(body))) if w in number]
-                possible = known.possible({t for _, t in at})
-                if possible:
+                main, aside = spoken_parts(body)
+                where: dict[str, list[int]] = defaultdict(list)
+                n = 0
+                for n, w in enumerate(words(main), 1):
+                    where[w].append(n - 1)
+                if aside:
+                    for p, w in enumerate(words(aside), n + APART):
+                        where[w].append(p)
+                if where:
                     ids.append(key)
-                    items.append(possible)
-                    terms.append([t for _, t in at])
-                    places.append([p for p, _ in at])
-            lists = [pa.array(x, pa.list_(k)) for x, k in ((items, pa.int64()), (terms, pa.int32()), (places, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), *lists], ["doc", "items", "terms", "positions"])
+                    for w, at in where.items():
+                        terms.append(w)
+                        counts.append(len(at))
+                        places += at
+                    ends.append(len(terms))
+                    place_ends.append(len(places))
+            offsets, place_offsets = pa.array(ends, pa.int32()), pa.array(place_ends, pa.int32())
+            lists = [
+                pa.ListArray.from_arrays(offsets, pa.array(terms, pa.string())),
+                pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32())),
+                pa.ListArray.from_arrays(place_offsets, pa.array(places, pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), *lists], ["doc", "terms", "counts", "positions"])
 
     source = documents.select(F.col(doc).alias("doc"), F.col(text).alias("text")).filter("text is not null")
-    return spread(source).mapInArrow(run, f"doc {kind}, items array<bigint>, terms array<int>, positions array<int>")
-
-
-def anchors(index: DataFrame, vocabulary: TestVocabulary) -> dict[int, set[int]]:
-    """Anchors of each item; the frequencies are at most one per distinct word of the bounded test set."""
-    counted = index.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    frequency = {row["term"]: row["df"] for row in counted.toLocalIterator()}
-    return {item: vocabulary.anchors(item, frequency) for item in vocabulary.items}
+    return spread(source).mapInArrow(run, f"doc {kind}, terms array<string>, counts array<int>, positions array<int>")
+
+
+def document_frequencies(index: DataFrame, vocabulary: TestVocabulary) -> dict[int, int]:
+    """Documents per term number; at most one entry per distinct word of the block of items."""
+    spark = index.sparkSession
+    numbered = spark.createDataFrame(list(enumerate(vocabulary.terms)), "number int, term string")
+    counted = (
+        index.select(F.explode("terms").alias("term"))
+        .join(F.broadcast(numbered), "term")  # at most BLOCK_WORDS words
+        .groupBy("number")
+        .agg(F.count(F.lit(1)).alias("df"))
+    )
+    return {row["number"]: row["df"] for row in counted.toLocalIterator()}
 
 
 def _close(places: list[int], place: int, reach: int) -> bool:
@@ -163,55 +172,103 @@ def _close(places: list[int], place: int, reach: int) -> bool:
     return k < len(places) and places[k] <= place + reach
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, doc: str, text: str, item: str, item_text: str) -> DataFrame:
-    """(doc, item, span, matched, n_words, kind) of each document that carries at least half of an item in order.
+def _passage(where: dict[int, list[int]], sequence: list[int], anchored: set[int], weight: list[float]) -> tuple[int, int, str] | None:
+    """(span, matched, kind) of the best passage of an item in the positions of a document's words, if it counts."""
+    length = len(sequence)
+    near = sorted(p - o for o, t in enumerate(sequence) if t in anchored for p in where.get(t, ()))
+    heaviest = max(weight[t] for t in sequence)
+    names = {o for o, t in enumerate(sequence) if weight[t] >= heaviest / 2}
+    hits = [(p, o) for o, t in enumerate(sequence) for p in where.get(t, ()) if _close(near, p - o, DRIFT * length)]
+    first, last, chain = best_passage(hits, names)
+    span = last - first + 1
+    if not chain:
+        return None
+    run = longest = 1
+    for (p, o), (q, r) in pairwise(chain):
+        run = run + 1 if q - p == 1 and r - o == 1 else 1
+        longest = max(longest, run)
+    kind = "exact" if longest == length else "phrase" if longest >= _least(length) else "proximity"
+    if length < SHORT:
+        return (span, span, kind) if kind == "exact" else None
+    inside = sum(weight[t] for t in sequence[first : last + 1])
+    matched = sum(weight[sequence[o]] for _, o in chain)
+    steps = [(q - p <= 4 and r - o <= 2) for (p, o), (q, r) in pairwise(chain)]
+    counts = (
+        span >= (_least(length) if len(chain) == span else SHARE * length)
+        and len(chain) >= DENSITY * span
+        and len(chain) >= 2
+        and matched >= WEIGHT_DENSITY * inside - 1e-6
+        and sum(steps) >= CLOSE_STEPS * len(steps)
+    )
+    return (span, len(chain), kind) if counts else None
 
-    span: item words from the first to the last of the passage; matched: how many of them the document has; kind: exact if
-    all of the item stands there word for word, phrase if all words of the passage do, else proximity.
-    """
-    terms = item_terms(items, item, item_text)
-    vocabulary = TestVocabulary(terms)
-    index = durable(postings(documents, doc, text, vocabulary))
-    chosen = anchors(index, vocabulary)
-    shared = documents.sparkSession.sparkContext.broadcast((vocabulary.items, chosen, vocabulary.weight))
-    kind = documents.schema[doc].dataType.simpleString()
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequences, anchored, weight = shared.value
+def search_index(index: DataFrame, vocabulary: TestVocabulary) -> DataFrame:
+    """(doc, item, span, matched, n_words, kind) of each passage of a block of items that counts."""
+    kind = index.schema["doc"].dataType.simpleString()
+    names = ["doc", "item", "span", "matched", "n_words", "kind"]
+    frequency = document_frequencies(index, vocabulary)
+    chosen = [vocabulary.anchors(k, frequency) for k in range(len(vocabulary.sequences))]
+    shared = index.sparkSession.sparkContext.broadcast((vocabulary, chosen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, anchored = shared.value
+        of_anchor: dict[int, list[int]] = defaultdict(list)
+        for k, ts in enumerate(anchored):
+            for t in ts:
+                of_anchor[t].append(k)
+        is_anchor = np.zeros(len(known.terms) + 1, dtype=bool)  # the last place is that of unknown words, code -1
+        is_anchor[list(of_anchor)] = True
+        value_set, weight = pa.array(known.terms, pa.string()), known.weight.tolist()
+        sequences = [s.tolist() for s in known.sequences]
+        present = np.zeros(len(known.terms))
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for key, named, ts, ps in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                where = defaultdict(list)
-                for t, p in zip(ts, ps, strict=True):
-                    where[t].append(p)
-                for number in named:
-                    sequence = sequences[number]
-                    length = len(sequence)
-                    near = sorted(p - o for o, t in enumerate(sequence) if t in anchored[number] for p in where.get(t, ()))
-                    heaviest = max(weight[t] for t in sequence)
-                    names = {o for o, t in enumerate(sequence) if weight[t] >= heaviest / 2}
-                    hits = [(p, o) for o, t in enumerate(sequence) for p in where.get(t, ()) if _close(near, p - o, DRIFT * length)]
-                    first, last, chain = best_passage(hits, names)
-                    span = last - first + 1 if chain else 0
-                    inside = sum(weight[t] for t in sequence[first : last + 1])
-                    matched = sum(weight[sequence[o]] for _, o in chain)
-                    steps = [(q - p <= 4 and r - o <= 2) for (p, o), (q, r) in pairwise(chain)]
-                    if (
-                        span >= (_least(length) if len(chain) == span else SHARE * length)
-                        and len(chain) >= DENSITY * span
-                        and len(chain) >= 2
-                        and matched >= WEIGHT_DENSITY * inside - 1e-6
-                        and sum(steps) >= CLOSE_STEPS * len(steps)
-                    ):
-                        for values, value in zip(out, (key, number, span, len(chain), length), strict=True):
+            ids, lengths = batch.column(0), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            codes = pc.fill_null(pc.index_in(batch.column(1).flatten(), value_set=value_set), -1).to_numpy(zero_copy_only=False)
+            counts = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            places = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(counts)
+            rows = np.repeat(np.arange(batch.num_rows), lengths)
+            from_row = np.concatenate(([0], np.cumsum(lengths)))
+            out: list[list] = [[], [], [], [], [], []]
+            for row in np.unique(rows[is_anchor[codes]]).tolist():
+                at = np.arange(from_row[row], from_row[row + 1])
+                at = at[codes[at] >= 0]
+                here = codes[at]
+                present[here] = 1.0
+                where = None
+                for k in sorted({k for t in here[is_anchor[here]].tolist() for k in of_anchor[t]}):
+                    sequence = known.sequences[k]
+                    filled = present[sequence]
+                    if filled.sum() < known.least_words[k] - 1e-6 or not _can_fill(filled, known.weight[sequence]):
+                        continue
+                    if where is None:
+                        where = {t: places[e - c : e].tolist() for t, c, e in zip(here.tolist(), counts[at].tolist(), ends[at].tolist(), strict=True)}
+                    passage = _passage(where, sequences[k], anchored[k], weight)
+                    for member in known.members[k] if passage else ():
+                        for values, value in zip(out, (ids[row].as_py(), member, *passage[:2], len(sequence), passage[2]), strict=True):
                             values.append(value)
-            kinds = (batch.column(0).type, pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["doc", "item", "span", "matched", "n_words"]
-            )
+                present[here] = 0.0
+            kinds = (ids.type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
 
-    aligned = index.select("doc", "items", "terms", "positions").mapInArrow(
-        align, f"doc {kind}, item bigint, span int, matched int, n_words int"
+    return index.select("doc", "terms", "counts", "positions").mapInArrow(
+        run, f"doc {kind}, item bigint, span int, matched int, n_words int, kind string"
     )
-    how = F.when((F.col("matched") == F.col("n_words")), "exact").when(F.col("matched") == F.col("span"), "phrase").otherwise("proximity")
-    return aligned.select(F.col("doc").alias(doc), F.col("item").alias(item), "span", "matched", "n_words", how.alias("kind"))
+
+
+def find_leaks(
+    documents: DataFrame, items: DataFrame, doc: str, text: str, item: str, item_text: str, index: DataFrame | None = None
+) -> DataFrame:
+    """(doc, item, span, matched, n_words, kind) of each document that carries at least half of an item in order.
+
+    span: item words from the first to the last of the passage; matched: how many of them the document has; kind: exact if
+    all of the item stands there word for word, phrase if a stretch long enough to count does, else proximity.  index: what
+    build_index gave for these documents, if it is stored already; else it is stored in the shared folder.
+    """
+    kept = stored(build_index(documents, doc, text)) if index is None else index
+    found = [search_index(kept, TestVocabulary(terms)) for terms in item_blocks(items, item, item_text)]
+    if not found:
+        found = [search_index(kept, TestVocabulary({}))]
+    every = reduce(DataFrame.unionByName, found)
+    return every.select(F.col("doc").alias(doc), F.col("item").alias(item), "span", "matched", "n_words", "kind")

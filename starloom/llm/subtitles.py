@@ -47,7 +47,11 @@ _TAG = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}")
 _NOISE = re.compile(r"\[[^\[\]]{0,80}\]|\([^()]{0,80}\)")
 _SPEAKER = re.compile(r"^\s*-?\s*[A-ZÀ-Þ][A-ZÀ-Þ.' ]+:\s")
 _FOREIGN = re.compile("[Ͱ-ӿ　-鿿＀-￯\U0001f000-\U0001faff]")
+_LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[a-z0-9]+")
+# Scripts written without blanks (kana, Han, Thai, Lao, Khmer, Burmese): each character is a word of its own.
+_DENSE = "\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff"
+_ANY_WORD = re.compile(f"[{_DENSE}]|[^\\W_{_DENSE}]+")
 
 
 def _misread_table() -> dict[str, str]:
@@ -111,10 +115,30 @@ def _spoken_lines(text: str) -> list[str]:
     return kept
 
 
+def _aside(text: str) -> tuple[str, str]:
+    """(lines of the script that most of the text is in, lines of another script) of a mostly Latin text; else all stays."""
+    if text.isascii():
+        return text, ""
+    foreign = len(_FOREIGN.findall(text))
+    if not foreign or 2 * foreign >= len(_LETTER.findall(text)):
+        return text, ""
+    lines = text.split("\n")
+    apart = [len(_FOREIGN.findall(x)) >= 3 for x in lines]
+    return "\n".join(x for x, a in zip(lines, apart, strict=True) if not a), "\n".join(x for x, a in zip(lines, apart, strict=True) if a)
+
+
 def spoken_text(text: str | None) -> str:
     """Spoken lines in reading order, folded; line breaks kept."""
+    return spoken_parts(text)[0]
+
+
+def spoken_parts(text: str | None) -> tuple[str, str]:
+    """(spoken lines in reading order, folded; lines of another script that stand among them, folded).
+
+    A text that is mostly not in Latin letters is kept whole in the first part.
+    """
     if not text:
-        return ""
+        return "", ""
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
@@ -131,16 +155,15 @@ def spoken_text(text: str | None) -> str:
         text = "\n".join(
             x for x in text.split("\n") if "♪" not in x and x != "WEBVTT" and not ((y := x.strip())[:1] == "*" and y[-1:] == "*")
         )
-    if not text.isascii() and _FOREIGN.search(text):
-        text = "\n".join(x for x in text.split("\n") if len(_FOREIGN.findall(x)) < 3)
+    text, aside = _aside(text)
     text = fold(text)
     for phrase in ADVERT_PHRASES:
         if phrase in text:
             text = _without_lines(text, phrase)
-    return text
+    return text, fold(aside)
 
 
 def words(folded: str) -> list[str]:
-    """Words of folded text; a digit inside a word of letters counts as the letter it resembles."""
-    found = _WORD.findall(folded)
+    """Words of folded text in any script; a digit inside a word of letters counts as the letter it resembles."""
+    found = _WORD.findall(folded) if folded.isascii() else _ANY_WORD.findall(folded)
     return [w if w.isalpha() or w.isdigit() else w.translate(DIGIT_LETTERS) for w in found]

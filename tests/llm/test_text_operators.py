@@ -165,10 +165,69 @@ def test_items_that_share_all_their_words_are_found(spark):
     assert leak_pairs(spark, [items[1], items[2], items[3]], items) == {(0, 1), (1, 2), (2, 3)}
 
 
-def test_large_test_sets_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(L, "MAX_ITEM_WORDS", 3)
-    with pytest.raises(ValueError):
-        L.item_terms(spark.createDataFrame([(1, "a b c d")], "i bigint, t string"), "i", "t")
+def test_repeated_items_are_found_under_each_id(spark):
+    ws = [a + b for a in ("bra", "klo", "mu", "zi") for b in ("don", "vik", "lem", "sur", "pag")]
+    items = {1: " ".join(ws), 2: " ".join(ws).upper(), 3: " ".join(ws) + ".", 4: "nothing of the kind stands anywhere in here", 5: None}
+    assert leak_pairs(spark, ["they said " + items[1], "quite different"], items) == {(0, 1), (0, 2), (0, 3)}
+
+
+def test_items_from_one_template_are_found(spark):
+    stem = "the old town of {0} has a bridge over the river {1} that was built in the year {2} by the master".split()
+    names = [("Brado", "Vikla", "1411"), ("Suren", "Pagmu", "1502"), ("Lemzi", "Dontas", "1633"), ("Frevik", "Klodon", "1720")]
+    items = {n: " ".join(stem).format(*x) for n, x in enumerate(names)}
+    found = leak_pairs(spark, [f"well {items[n]} indeed" for n in range(4)], items)
+    assert {(n, n) for n in range(4)} <= found
+
+
+def test_short_items_count_whole_and_word_for_word(spark):
+    items = {1: "Brado", 2: "red bus", 3: "seven blue lamps burn", 4: "seven blue lamps burn here"}
+    docs = ["a brado", "the bus is red", "a red bus", "seven lamps burn blue", "now seven blue lamps burn", "seven blue old lamps burn"]
+    found = leak_pairs(spark, docs, {k: v for k, v in items.items() if k < 4})
+    assert found == {(0, 1), (2, 2), (4, 3)}
+
+
+def test_items_in_other_scripts_are_found(spark):
+    items = {
+        1: "Старый мост через реку построил мастер Бродин в тысяча четыреста одиннадцатом году",
+        2: "这座古老的桥梁是由布罗丁大师在一四一一年建造的并且至今仍然完好",
+        3: "Η παλιά γέφυρα χτίστηκε από τον μάστορα Μπροντίν πριν από πολλά χρόνια",
+    }
+    plain = "\n".join(["the old man saw a red bus near our house"] * 30)
+    docs = [f"1\n00:00:01,000 --> 00:00:02,000\n{t}\n" for t in items.values()] + [f"{plain}\n{t}\n{plain}" for t in items.values()]
+    assert leak_pairs(spark, docs, items) == {(d, d % 3 + 1) for d in range(6)}
+
+
+def test_kind_asks_for_neighbouring_positions(spark):
+    ws = [a + b for a in ("bra", "klo", "mu", "zi") for b in ("don", "vik", "lem", "sur", "pag")]
+    filled = [x for k, w in enumerate(ws) for x in ([w, "um", "er"] if k % 3 == 2 else [w])]
+    docs = [" ".join(ws), " ".join(filled), " ".join(ws[3:17]), " ".join(filled[:18])]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    tests = spark.createDataFrame([(1, " ".join(ws))], "item_id bigint, text string")
+    found = {r["doc_id"]: r["kind"] for r in L.find_leaks(frame, tests, "doc_id", "text", "item_id", "text").collect()}
+    assert found == {0: "exact", 1: "proximity", 2: "phrase", 3: "proximity"}
+
+
+def test_large_test_sets_are_searched_in_blocks_over_one_index(spark, monkeypatch):
+    rng = random.Random(3)
+    items = {i: " ".join(ws) for i, ws in make_items(rng).items()}
+    docs = [*items.values(), "the old man saw a red bus", None, ""]
+    whole = leak_pairs(spark, docs, items)
+    assert {(i, i) for i in items} <= whole
+    monkeypatch.setattr(L, "BLOCK_WORDS", 50)
+    assert len(list(L.item_blocks(spark.createDataFrame(list(items.items()), "i bigint, t string"), "i", "t"))) > 2
+    assert {(i, i) for i in items} <= leak_pairs(spark, docs, items)
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    index = L.build_index(frame, "doc_id", "text").cache()
+    for chosen in ([0, 1], [5]):
+        tests = spark.createDataFrame([(i, items[i]) for i in chosen], "item_id bigint, text string")
+        again = L.find_leaks(frame, tests, "doc_id", "text", "item_id", "text", index)
+        assert {(r["doc_id"], r["item_id"]) for r in again.collect()} == {(i, i) for i in chosen}
+
+
+def test_index_holds_every_word_with_its_positions(spark):
+    frame = spark.createDataFrame([(1, "Up and up, and away"), (2, None), (3, " ")], "doc_id bigint, text string")
+    row = L.build_index(frame, "doc_id", "text").collect()
+    assert [(r["doc"], r["terms"], r["counts"], r["positions"]) for r in row] == [(1, ["up", "and", "away"], [2, 2, 1], [0, 2, 1, 3, 4])]
 
 
 def test_best_passage():
