@@ -28,13 +28,18 @@ def durable(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the checkpoint folder, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written as a Parquet table under the checkpoint folder and read back column by column.
 
     For what several passes read: unlike a checkpoint it is compressed, and each pass reads only its columns.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    folder = shared_folder(df.sparkSession, "table")
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
 
