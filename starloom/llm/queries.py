@@ -9,6 +9,7 @@ from starloom.functions.galaxies import canonical_id, galaxy_id, named_galaxies
 from starloom.llm import corpus_tokens, group_splits, leak_search, quota_sample, reading_level, stable_sample
 from starloom.operators.components import connected_components
 from starloom.operators.heavy_keys import skew_join
+from starloom.plans.durable import shared_folder
 from starloom.plans.registry import Registry
 from starloom.sources.tables import table
 
@@ -150,6 +151,8 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Parameter: the rate in force from each month on (months since year 0); an epoch's rate is never changed afterwards.
 EPOCH_RATES = [(2025 * 12, 0.25), (2025 * 12 + 3, 0.20), (2025 * 12 + 6, 0.15), (2025 * 12 + 9, 0.10)]
 
+MIDYEAR = "2025-07-01 00:00:00"  # parameter: arrivals from here on are the ledger's second batch
+
 
 def epoch_rates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(EPOCH_RATES, "epoch int, rate double")
@@ -182,8 +185,14 @@ SELECT record_id, epoch, ({_RATE})::DOUBLE AS rate FROM f
 WHERE ('0x' || substr(md5('{SEED}:0:' || record_id), 1, 13))::BIGINT / 4503599627370496.0 < {_RATE}""",
 )
 def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The selected units and galaxies with the epoch and frozen rate of their first arrival."""
-    ledger = stable_sample.extend_ledger(None, arrivals(spark, sf_dir), "record_id", "seen_at", epoch_rates(spark))
+    """The selected units and galaxies with the epoch and frozen rate of their first arrival, from a stored ledger.
+
+    The arrivals before and after MIDYEAR are two batches: the first is written, the second is held against what is stored.
+    """
+    folder, rows = shared_folder(spark, "ledger"), arrivals(spark, sf_dir)
+    early = F.col("seen_at") < F.lit(MIDYEAR).cast("timestamp_ntz")
+    stable_sample.append_batch(folder, 1, rows.filter(early), "record_id", "seen_at", epoch_rates(spark))
+    ledger = stable_sample.append_batch(folder, 2, rows.filter(~early), "record_id", "seen_at", epoch_rates(spark))
     return stable_sample.selected(ledger, "record_id", SEED).select("record_id", "epoch", "rate")
 
 
@@ -307,7 +316,7 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels(spark, sf_dir).select("doc_id", "level")
+    return levels(spark, sf_dir).filter("level is not null").select("doc_id", "level")
 
 
 @registry.query("p8_profile")

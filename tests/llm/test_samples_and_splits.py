@@ -105,6 +105,24 @@ def test_members_stay_when_records_arrive(spark):
     assert {r["record_id"] for r in S.selected(before.coalesce(1), "record_id", 6).collect()} != sample
 
 
+def test_stored_ledger_keeps_members_with_rising_rates_and_late_earlier_rows(spark, tmp_path):
+    folder = f"file://{tmp_path}/ledger"
+    low = spark.createDataFrame([(24300, 0.1)], "epoch int, rate double")
+    high = spark.createDataFrame([(24300, 0.9), (24250, 0.9)], "epoch int, rate double")
+    assert S.read_ledger(spark, folder) is None
+    first = S.append_batch(folder, 1, records(spark, 0, 600), "record_id", "seen_at", low)
+    before = {r["record_id"]: (r["epoch"], r["rate"]) for r in first.collect()}
+    sample = {r["record_id"] for r in S.selected(first, "record_id", 5).collect()}
+    late = records(spark, 0, 1200).withColumn("seen_at", F.expr("seen_at - interval 400 days"))
+    for _ in range(2):  # a batch that is written again stays the same
+        second = S.append_batch(folder, 2, late, "record_id", "seen_at", high)
+        after = {r["record_id"]: (r["epoch"], r["rate"]) for r in second.collect()}
+        assert len(after) == 1200 and {k: after[k] for k in before} == before
+        grown = {r["record_id"] for r in S.selected(second, "record_id", 5).collect()}
+        assert {x for x in grown if x in before} == sample and len(grown) > 2 * len(sample)
+    assert S.append_batch(folder, 3, late.limit(0), "record_id", "seen_at", high).count() == 1200
+
+
 def test_stable_sample_edge_cases(spark):
     rates = spark.createDataFrame([(24300, 1.0)], "epoch int, rate double")
     t = dt.datetime(2025, 2, 1)

@@ -265,6 +265,26 @@ def test_reading_levels_table(spark, samples):
     assert R.reading_levels(frame, samples.limit(0)).count() == 0
 
 
+def test_a_language_without_samples_has_no_level(spark, samples):
+    finnish = "vanha silta joen yli rakennettiin kolmesataa vuotta sitten ja se kestää yhä hyvin kaupungin laidalla " * 6
+    frame = spark.createDataFrame([(1, finnish), (2, "Старый мост через реку построил мастер в старом городе " * 10)], "doc_id bigint, text string")
+    found = R.reading_levels(frame, samples).collect()
+    assert sorted((r["doc_id"], r["language"], r["score"], r["level"]) for r in found) == [(1, None, None, None), (2, None, None, None)]
+
+
+def test_drawn_pairs_rank_like_all_pairs(monkeypatch):
+    rng = np.random.default_rng(4)
+    level = rng.integers(1, 5, 400).astype(float)
+    x = np.column_stack([level + rng.normal(size=400), rng.normal(size=400)])
+    whole = R.rank_weights(x, level)
+    monkeypatch.setattr(R, "LEVEL_PAIRS", 500)
+    assert len(R.rank_pairs(level)[0]) == 6 * 500
+    drawn = R.rank_weights(x, level)
+    assert np.abs(drawn - whole).max() < 0.3 and drawn[0] > 5 * abs(drawn[1])
+    higher, lower = R.rank_pairs(np.array([2.0, 1.0, 1.0]))
+    assert list(zip(higher.tolist(), lower.tolist(), strict=True)) == [(0, 1), (0, 2)]
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(1)
     score = rng.normal(size=200)
