@@ -9,7 +9,7 @@ from starloom.functions.galaxies import canonical_id, galaxy_id, named_galaxies
 from starloom.llm import corpus_tokens, group_splits, leak_search, quota_sample, reading_level, stable_sample
 from starloom.operators.components import connected_components
 from starloom.operators.heavy_keys import skew_join
-from starloom.plans.durable import shared_folder
+from starloom.plans.durable import durable, shared_folder
 from starloom.plans.registry import Registry
 from starloom.sources.tables import table
 
@@ -61,11 +61,12 @@ def classified_galaxies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def placed_galaxies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(placed galaxies with their target_id, report per target)."""
+def placed_galaxies(spark: SparkSession, sf_dir: str, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(placed galaxies with their target_id, report per target); keep stores the placed galaxies, which a draw reads thrice."""
     galaxies = classified_galaxies(spark, sf_dir)
     targets = table(spark, sf_dir, "strata_targets")
     placed = quota_sample.place(galaxies, targets, TREE, "bulge_frac", "bulge_lo", "bulge_hi")
+    placed = durable(placed.select("target_id", "galaxy_id")) if keep else placed
     n_all = table(spark, sf_dir, "wave2_strata").agg(F.count_distinct("snapshot", "subhalo_id").alias("n"))
     return placed, quota_sample.quota_report(placed, n_all, targets, TREE, SAMPLE_FRACTION)
 
@@ -100,14 +101,36 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each target needs and has."""
     _, report = placed_galaxies(spark, sf_dir)
-    return report.select("target_id", "needed", "available", "quota", "own_gap", "is_met")
+    whole = F.ceil("needed").cast("bigint")  # of the target by itself; p1_allocation has the quotas of the tree
+    gap = F.greatest(whole - F.col("available"), F.lit(0))
+    return report.select("target_id", "needed", "available", whole.alias("quota"), gap.alias("own_gap"), "is_met")
+
+
+def _quota_sql() -> str:
+    """Quotas from the sample size down to stratum, barred and target_id; a node's children add up to its quota."""
+    path = ["stratum", "barred", "target_id"]
+    steps = [
+        f", k0 AS (SELECT greatest(round(any_value(n) * {SAMPLE_FRACTION}), sum(min_rows))::DOUBLE AS quota FROM strata_targets, (SELECT count(DISTINCT (snapshot, subhalo_id)) AS n FROM wave2_strata))"
+    ]
+    for d in range(1, 4):
+        by, above = ", ".join(path[:d]), ", ".join(path[: d - 1])
+        over = f"PARTITION BY {above}" if above else ""
+        steps.append(
+            f", a{d} AS (SELECT {by}, sum(target_share) AS s, sum(min_rows)::DOUBLE AS m FROM strata_targets GROUP BY {by}), "
+            f"b{d} AS (SELECT a{d}.*, quota FROM a{d} {f'JOIN k{d - 1} USING ({above})' if above else ', k0'}), "
+            f"c{d} AS (SELECT *, greatest(quota * s / sum(s) OVER ({over}) - m, 0) AS over_min FROM b{d}), "
+            f"d{d} AS (SELECT *, sum(over_min) OVER ({over}) AS whole, sum(over_min) OVER ({over} ORDER BY {path[d - 1]}) AS upto, quota - sum(m) OVER ({over}) AS rest FROM c{d}), "
+            f"k{d} AS (SELECT {by}, m + coalesce(floor(round(rest * upto / nullif(whole, 0), 6)) - floor(round(rest * (upto - over_min) / nullif(whole, 0), 6)), 0) AS quota FROM d{d})"
+        )
+    return "".join(steps)
 
 
 def _allocation_sql() -> str:
-    """Quotas passed on within both tree columns, then the first, then the whole tree."""
+    """Quotas from the tree, passed on within both tree columns, then the first, then the whole tree."""
     steps = [
         PLACED_SQL,
-        ", q AS (SELECT *, ceil(needed)::HUGEINT AS quota FROM need), l0 AS (SELECT *, least(quota, available)::HUGEINT AS allocated, greatest(quota - available, 0)::HUGEINT AS unmet, "
+        _quota_sql(),
+        ", q AS (SELECT need.*, k3.quota::HUGEINT AS quota FROM need JOIN k3 USING (target_id)), l0 AS (SELECT *, least(quota, available)::HUGEINT AS allocated, greatest(quota - available, 0)::HUGEINT AS unmet, "
         "greatest(available - quota, 0)::HUGEINT AS spare, 0::HUGEINT AS received FROM q)",
     ]
     for n, by in enumerate(("stratum, barred", "stratum", "1"), 1):
@@ -116,7 +139,7 @@ def _allocation_sql() -> str:
             f"sum(spare) OVER (PARTITION BY {by} ORDER BY target_id) AS st FROM l{n - 1}), "
             f"g{n} AS (SELECT *, least(u, s) AS give FROM w{n}), "
             f"p{n} AS (SELECT *, CASE WHEN s > 0 THEN give * st // s - give * (st - spare) // s ELSE 0 END AS more, CASE WHEN u > 0 THEN give * ut // u - give * (ut - unmet) // u ELSE 0 END AS less FROM g{n}), "
-            f"l{n} AS (SELECT target_id, stratum, barred, quota, available, allocated + more AS allocated, unmet - less AS unmet, spare - more AS spare, received + more AS received FROM p{n})"
+            f"l{n} AS (SELECT target_id, stratum, barred, target_share, quota, available, allocated + more AS allocated, unmet - less AS unmet, spare - more AS spare, received + more AS received FROM p{n})"
         )
     return "".join(steps)
 
@@ -126,12 +149,15 @@ ALLOCATION_SQL = _allocation_sql()
 
 @registry.query(
     "p1_allocation",
-    ALLOCATION_SQL + " SELECT target_id, quota::BIGINT AS quota, available, allocated::BIGINT AS allocated, received::BIGINT AS received, unmet::BIGINT AS shortfall FROM l3",
+    ALLOCATION_SQL
+    + " SELECT target_id, quota::BIGINT AS quota, available, allocated::BIGINT AS allocated, received::BIGINT AS received, greatest(quota - available, 0)::BIGINT AS own_gap, unmet::BIGINT AS shortfall, "
+    "target_share AS wanted_share, round(allocated::DOUBLE / sum(allocated) OVER (), 9) AS achieved_share FROM l3",
 )
 def p1_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each target was allocated after unmet quota was passed to siblings, cousins and the rest of the tree."""
+    """What each target was allocated after unmet quota was passed to siblings, cousins and the rest of the tree, and its share."""
     _, report = placed_galaxies(spark, sf_dir)
-    return report.select("target_id", "quota", "available", "allocated", "received", "shortfall")
+    counts = ["quota", "available", "allocated", "received", "own_gap", "shortfall"]
+    return report.select("target_id", *counts, "wanted_share", F.round("achieved_share", 9).alias("achieved_share"))
 
 
 @registry.query(
@@ -142,7 +168,7 @@ def p1_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample: target_id, galaxy_id, draw_rank."""
-    placed, report = placed_galaxies(spark, sf_dir)
+    placed, report = placed_galaxies(spark, sf_dir, keep=True)
     return quota_sample.draw(placed, report, "galaxy_id", SEED)
 
 

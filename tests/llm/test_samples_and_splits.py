@@ -30,6 +30,51 @@ def test_quota_goes_to_siblings_then_cousins_then_the_rest(spark):
     assert found[1]["own_gap"] == 6 and sum(r["shortfall"] for r in found.values()) == 0
 
 
+def brute_quotas(leaves, size):
+    """Top-down quotas in plain Python: leaves are (leaf, a, b, share, least)."""
+    from math import floor
+
+    def split(quota, rows, depth, out):
+        if depth == 3:
+            out[rows[0][0]] = int(quota)
+            return
+        nodes = {}
+        for r in rows:
+            nodes.setdefault((r[1], r[2], r[0])[depth], []).append(r)
+        share = sum(r[3] for r in rows)
+        over = {k: max(quota * sum(r[3] for r in v) / share - sum(r[4] for r in v), 0) for k, v in nodes.items()}
+        rest, whole, upto = quota - sum(r[4] for r in rows), sum(over.values()), 0.0
+        cut = lambda x: floor(round(rest * x / whole, 6)) if whole else 0
+        for k in sorted(nodes):
+            before, upto = upto, upto + over[k]
+            split(sum(r[4] for r in nodes[k]) + cut(upto) - cut(before), nodes[k], depth + 1, out)
+
+    found = {}
+    split(max(size, sum(r[4] for r in leaves)), leaves, 0, found)
+    return found
+
+
+@pytest.mark.parametrize("size", [0, 10, 97, 1000])
+def test_quotas_come_down_the_tree_within_the_sample_size(spark, size):
+    random.seed(size)
+    leaves = [(i, random.choice("xyz"), random.choice("pq"), random.random(), random.randrange(4)) for i in range(25)]
+    frame = spark.createDataFrame(leaves, "leaf int, a string, b string, share double, least int")
+    found = {r["leaf"]: r["quota"] for r in Q.tree_quotas(frame, "leaf", ["a", "b"], "share", "least", spark.createDataFrame([(float(size),)], "n double")).collect()}
+    least = {r[0]: r[4] for r in leaves}
+    assert sum(found.values()) == max(size, sum(least.values())) and all(found[k] >= least[k] for k in found)
+    assert found == brute_quotas(leaves, size)
+
+
+def test_report_has_achieved_shares(spark):
+    targets = spark.createDataFrame([(1, "x", True, 0.0, 1.0, 0.5, 0), (2, "y", True, 0.0, 1.0, 0.3, 0), (3, "z", True, 0.0, 1.0, 0.2, 30)], TARGETS)
+    placed = spark.createDataFrame([(1, f"a{i}") for i in range(400)] + [(2, f"b{i}") for i in range(10)] + [(3, f"c{i}") for i in range(90)], "target_id int, galaxy_id string")
+    n_all = spark.createDataFrame([(500,)], "n bigint")
+    found = {r["target_id"]: r for r in Q.quota_report(placed, n_all, targets, ["stratum", "barred"], 0.2).collect()}
+    assert [found[k]["quota"] for k in (1, 2, 3)] == [43, 27, 30] and sum(found[k]["allocated"] for k in found) == 100
+    assert found[2]["allocated"] == 10 and found[2]["own_gap"] == 17 and found[2]["shortfall"] == 0
+    assert found[1]["achieved_share"] == found[1]["allocated"] / 100 and [found[k]["is_met"] for k in (1, 2, 3)] == [True, False, True]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_allocation_keeps_bounds_and_totals(spark, seed):
     random.seed(seed)
