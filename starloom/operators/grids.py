@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+MAP_CELLS = 65_536  # cells of a map that is handled as one array
 
 def bin_closed(value: Column, low: float, high: float, bins: int) -> Column:
     """Bin number with the last bin closed on the right; null outside."""
@@ -214,12 +216,50 @@ def azimuthal_extent(cells: DataFrame, keys: Sequence[str], bins: int) -> DataFr
     return ends.select(*keys, F.greatest(F.lit(0.0), 360 - F.greatest(F.coalesce("_widest", F.lit(0.0)), F.col("_wrap"))).alias("extent"))
 
 
-def _cell_name(keys: Sequence[str]) -> Column:
-    return F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.lpad("iy", 5, "0"), F.lpad("ix", 5, "0"))
+def _cell_name(keys: Sequence[str], of: str = "") -> Column:
+    return F.concat_ws("|", *(F.col(of + k).cast("string") for k in keys), F.lpad(F.col(of + "iy"), 5, "0"), F.lpad(F.col(of + "ix"), 5, "0"))
 
 
-def connected_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, iy, ix, island): 4-connected islands of cells, named by their first cell, by star contraction of the links."""
+_ROW = 1 << 32
+
+
+def _island_labels(maps: pd.Series) -> pd.Series:
+    """For each cell number of a map, in order, the smallest number of its 4-connected island (flood fill of one small map)."""
+    found = []
+    for cells in maps:
+        label: dict[int, int] = {}
+        inside = set(cells.tolist())
+        for start in sorted(inside):
+            stack = [] if start in label else [start]
+            while stack:
+                cell = stack.pop()
+                if cell in inside and cell not in label:
+                    label[cell] = start
+                    stack += (cell - 1, cell + 1, cell - _ROW, cell + _ROW)
+        found.append([label[c] for c in cells.tolist()])
+    return pd.Series(found)
+
+
+def connected_cells(cells: DataFrame, keys: Sequence[str], bins: int | None = None) -> DataFrame:
+    """(keys, iy, ix, island): 4-connected islands of cells, named by their first cell.
+
+    Where the grid has bins cells a side and at most MAP_CELLS in all, a map is one short array and is labelled inside its
+    group.  Maps of unknown or larger size are labelled by star contraction of the links between cells.
+    """
+    if bins is not None and bins * bins <= MAP_CELLS:
+        number = F.col("iy").cast("bigint") * _ROW + F.col("ix")
+        maps = cells.groupBy(*keys).agg(F.collect_set(number).alias("_cells"))  # at most MAP_CELLS numbers
+        labels = F.pandas_udf(_island_labels, "array<bigint>")("_cells").alias("_labels")
+        each = maps.select(*keys, "_cells", labels).select(*keys, F.explode(F.arrays_zip("_cells", "_labels")).alias("_c"))
+        row = lambda c: F.floor((F.col(c) + _ROW // 2) / F.lit(float(_ROW))).cast("int")
+        at = lambda c: [row(c).alias("iy"), (F.col(c) - row(c).cast("bigint") * _ROW).cast("int").alias("ix")]
+        first = F.struct(*keys, *at("_c._labels"))
+        named = each.select(*keys, *at("_c._cells"), first.alias("_first"))
+        return named.select(*keys, "iy", "ix", _cell_name(keys, "_first.").alias("island"))
+    return _contracted_cells(cells, keys)
+
+
+def _contracted_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     from starloom.operators.components import connected_components
 
     named = cells.select(*keys, "iy", "ix", _cell_name(keys).alias("_cell"))

@@ -9,6 +9,9 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.plans.durable import stored
+
+MODELS = 100_000  # keys whose models (one row each) are broadcast
 
 def midpoint_nodes(rows: DataFrame, nodes: DataFrame, x: str, node: str, max_nodes: int = 10_000) -> DataFrame:
     """Rows with their nearest node on a line: node k takes (middle to the one before, middle to the one after].
@@ -53,34 +56,33 @@ def mixture_step(df: DataFrame, keys: Sequence[str], x: str, model: DataFrame, k
 
     model: one row per key with arrays weight, mean, variance.  Result: the new model and loglik of the old one.
     """
-    joined = df.join(model, list(keys))
-    density = F.zip_with(
-        F.zip_with("weight", "mean", lambda w, m: F.struct(w.alias("w"), m.alias("m"))),
-        "variance",
-        lambda c, v: c["w"] * F.exp(-((F.col(x) - c["m"]) ** 2) / (2 * v)) / F.sqrt(2 * math.pi * v),
-    )
-    scored = joined.withColumn("_d", density).withColumn("_t", F.greatest(F.aggregate("_d", F.lit(0.0), lambda a, d: a + d), F.lit(1e-300)))
-    part = [F.col("_d")[i] / F.col("_t") for i in range(k)]
-    sums = scored.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(F.ln("_t")).alias("loglik"),
-        *(F.sum(p).alias(f"_r{i}") for i, p in enumerate(part)),
-        *(F.sum(p * F.col(x)).alias(f"_x{i}") for i, p in enumerate(part)),
-        *(F.sum(p * F.col(x) ** 2).alias(f"_q{i}") for i, p in enumerate(part)),
-    )
-    r = [F.greatest(F.col(f"_r{i}"), F.lit(1e-12)) for i in range(k)]
-    mean = [F.col(f"_x{i}") / r[i] for i in range(k)]
-    return sums.select(
-        *keys,
-        F.array(*(r[i] / F.col("_n") for i in range(k))).alias("weight"),
-        F.array(*mean).alias("mean"),
-        F.array(*(F.greatest(F.col(f"_q{i}") / r[i] - mean[i] ** 2, F.lit(1e-6)) for i in range(k))).alias("variance"),
+    parts = range(k)
+    gap = [f"(`{x}` - mean[{i}])" for i in parts]
+    densities = [f"weight[{i}] * exp(-{gap[i]} * {gap[i]} / (2 * variance[{i}])) / sqrt({2 * math.pi!r} * variance[{i}]) as _d{i}" for i in parts]
+    scored = df.join(model, list(keys)).selectExpr(*(f"`{c}`" for c in (*keys, x)), *densities)
+    scored = scored.selectExpr("*", f"greatest({' + '.join(f'_d{i}' for i in parts)}, 1e-300D) as _t")
+    sums = ["count(1) as _n", "sum(ln(_t)) as loglik"]
+    for i in parts:
+        sums += [f"sum(_d{i} / _t) as _r{i}", f"sum(_d{i} / _t * `{x}`) as _x{i}", f"sum(_d{i} / _t * `{x}` * `{x}`) as _q{i}"]
+    totals = scored.groupBy(*keys).agg(*map(F.expr, sums))
+    r = [f"greatest(_r{i}, 1e-12D)" for i in parts]
+    mean = [f"(_x{i} / {r[i]})" for i in parts]
+    return totals.selectExpr(
+        *(f"`{c}`" for c in keys),
+        f"array({', '.join(f'{r[i]} / _n' for i in parts)}) as weight",
+        f"array({', '.join(mean)}) as mean",
+        f"array({', '.join(f'greatest(_q{i} / {r[i]} - {mean[i]} * {mean[i]}, 1e-6D)' for i in parts)}) as variance",
         "loglik",
     )
 
 
 def fit_mixture(df: DataFrame, keys: Sequence[str], x: str, k: int = 3, rounds: int = 8) -> DataFrame:
-    """Model after some rounds from evenly spread means between the smallest and largest value; (keys, weight, mean, variance, loglik)."""
+    """Model after some rounds from evenly spread means between the smallest and largest value; (keys, weight, mean, variance, loglik).
+
+    The two columns that every round reads are stored once.  Up to MODELS keys their models are broadcast, so that the rows
+    are not shuffled; more keys are joined by shuffle.
+    """
+    df = stored(df.select(*keys, x))
     ends = df.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.greatest(F.var_pop(x), F.lit(1e-6)).alias("_v"))
     model = ends.select(
         *keys,
@@ -88,8 +90,10 @@ def fit_mixture(df: DataFrame, keys: Sequence[str], x: str, k: int = 3, rounds:
         F.array(*(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (i + 0.5) / k for i in range(k))).alias("mean"),
         F.array(*[F.col("_v")] * k).alias("variance"),
     )
+    few = ends.count() <= MODELS
     for _ in range(rounds):
-        model = mixture_step(df, keys, x, model.select(*keys, "weight", "mean", "variance"), k)
+        before = model.select(*keys, "weight", "mean", "variance")
+        model = mixture_step(df, keys, x, F.broadcast(before) if few else before, k)
     return model
 
 

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.operators.running import linear_quantiles, running_sums
-from starloom.plans.durable import durable
+from starloom.operators.spectral import with_neighbours
+from starloom.plans.durable import durable, spread
 
 
 UNROLLED = 64
+LIBRARY = 500_000  # distinct places of a library that are broadcast (12 MB)
 
 
 def guarded_corr(a: str, b: str) -> Column:
@@ -66,11 +70,16 @@ def calibration_error(df: DataFrame, confidence: str, correct: str, bins: int) -
 
 
 def auroc(df: DataFrame, score: str, positive: str) -> DataFrame:
-    """(auroc): rank-sum area, ties halved; null unless both classes occur.  Distinct scores are combined first."""
+    """(auroc): rank-sum area, ties halved; null unless both classes occur.
+
+    Distinct scores are combined first and summed over bins between their percentiles, so the scale of the scores is free.
+    """
     counts = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(positive)).alias("_p"), F.count_if(~F.col(positive)).alias("_q"))
-    bins = counts.withColumn("_b", F.floor(F.col(score)))
+    edges = counts.agg(F.percentile_approx(score, [k / 100 for k in range(1, 100)], 1000).alias("_edges"))
+    binned = counts.join(F.broadcast(edges), F.lit(True))  # one row
+    bins = binned.withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col(score)))).drop("_edges")
     totals = bins.groupBy("_b").agg(F.sum("_q").alias("_bq"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per whole number
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bin
     carried = totals.select("_b", F.coalesce(F.sum("_bq").over(before), F.lit(0)).alias("_c"))
     inside = Window.partitionBy("_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     under = bins.join(carried, "_b").withColumn("_u", F.col("_c") + F.coalesce(F.sum("_q").over(inside), F.lit(0)))
@@ -144,10 +153,81 @@ def nearest_template(rows: DataFrame, templates: DataFrame, features: Sequence[s
     return joined.select(*[F.col(c) for c in rows.columns], F.col("_best.id").alias(template), F.sqrt("_best.d").alias("distance"))
 
 
+class _Strips:
+    """A library of places in strips of the first coordinate, each in order of the second; finds the nearest of many places at once."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.count = max(1, int(math.sqrt(len(a))))
+        by_a = np.argsort(a, kind="stable")
+        strip = np.empty(len(a), dtype=int)
+        strip[by_a] = np.arange(len(a)) * self.count // len(a)
+        self.order = np.lexsort((b, strip))  # place in the given library of each sorted one
+        self.a, self.b, strip = a[self.order], b[self.order], strip[self.order]
+        self.start, self.end = np.searchsorted(strip, np.arange(self.count)), np.searchsorted(strip, np.arange(self.count), "right")
+        self.low, self.high = (np.array([f(self.a[i:j]) for i, j in zip(self.start, self.end, strict=True)]) for f in (np.min, np.max))
+        self.b_low, self.b_range = b.min(), (b.max() - b.min()) * (1 + 1e-9) or 1.0
+        self.key = strip + (self.b - self.b_low) / self.b_range * 0.999
+
+    def _scan(self, x: np.ndarray, y: np.ndarray, at: np.ndarray, strip: np.ndarray, best: np.ndarray, found: np.ndarray) -> None:
+        """Go up and down a strip from each place's own height until nothing there can be nearer."""
+        height = np.clip((y[at] - self.b_low) / self.b_range, 0, 1) * 0.999
+        middle = np.clip(np.searchsorted(self.key, strip + height), self.start[strip], self.end[strip])
+        for step, here in ((1, middle), (-1, middle - 1)):
+            who, place, bound = at, here, self.end[strip] if step > 0 else self.start[strip] - 1
+            while len(who):
+                live = place < bound if step > 0 else place > bound
+                who, place, bound = who[live], place[live], bound[live]
+                rise = (self.b[place] - y[who]) ** 2
+                live = rise <= best[who]
+                who, place, bound, rise = who[live], place[live], bound[live], rise[live]
+                d = (self.a[place] - x[who]) ** 2 + rise
+                nearer = (d < best[who]) | ((d == best[who]) & (self.order[place] < found[who]))
+                best[who[nearer]], found[who[nearer]] = d[nearer], self.order[place[nearer]]
+                place = place + step
+
+    def nearest(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(squared distance, place in the library, the first of equals) for each place."""
+        best, found = np.full(len(x), np.inf), np.full(len(x), len(self.a))
+        own = np.clip(np.searchsorted(self.low, x, "right") - 1, 0, self.count - 1)
+        everyone = np.arange(len(x))
+        self._scan(x, y, everyone, own, best, found)
+        for step in (1, -1):
+            at, strip = everyone, own + step
+            while len(at):
+                inside = (strip >= 0) & (strip < self.count)
+                at, strip = at[inside], strip[inside]
+                gap = np.maximum(self.low[strip] - x[at] if step > 0 else x[at] - self.high[strip], 0)
+                near = gap**2 <= best[at]
+                at, strip = at[near], strip[near]
+                self._scan(x, y, at, strip, best, found)
+                strip = strip + step
+        return best, found
+
+
+def _search_sorted(library: DataFrame, kind: str) -> Callable[[Column, Column], Column]:
+    """Nearest template (_id, _d squared) of a place as a vectorised function over the broadcast library."""
+    listed = library.orderBy("_id").toPandas()  # LIBRARY rows at most; in order of id, so that the first of equals has the smallest
+    a, b = (listed[c].to_numpy(float) for c in ("_ta", "_tb"))
+    shared = library.sparkSession.sparkContext.broadcast((_Strips(a, b), listed["_id"].to_numpy()))
+
+    @F.pandas_udf(f"_id {kind}, _d double")
+    def search(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        strips, ids = shared.value
+        xs, ys = a.to_numpy(float), b.to_numpy(float)
+        good = ~np.isnan(xs) & ~np.isnan(ys)
+        best, found = strips.nearest(xs[good], ys[good])
+        names, squared = np.full(len(xs), None, dtype=object), np.full(len(xs), np.nan)
+        names[good], squared[good] = ids[found], best
+        return pd.DataFrame({"_id": pd.Series(names, dtype=object), "_d": squared})
+
+    return search
+
+
 def nearest_in_plane(rows: DataFrame, templates: DataFrame, a: str, b: str, template: str) -> DataFrame:
     """Rows with the nearest of any number of templates in the plane of a and b (smallest id of equals), and its distance.
 
-    Templates are put in square cells of about one each.  A place looks into rings of cells around its own that double in
+    A library of at most LIBRARY distinct places is broadcast and searched in vectorised batches, without any shuffle of the
+    rows; a larger one by joins over cells, as follows.  Templates are put in square cells of about one each.  A place looks into rings of cells around its own that double in
     width until the best distance is not larger than the way to the edge of the ring.  Only the places that are not proven
     go to the next round, at a cell size of the ring's width, where each is joined with the nine cells around it; the last round's
     cell holds the whole library, so it always ends.  Places without templates, or with a null or NaN, have a null template.
@@ -161,6 +241,9 @@ def nearest_in_plane(rows: DataFrame, templates: DataFrame, a: str, b: str, temp
     places = rows.select(number(a).alias("_a"), number(b).alias("_b")).distinct()
     if not box[0]:
         found = places.select("_a", "_b", F.lit(None).cast(kind).alias("_id"), F.lit(None).cast("double").alias("_d")).limit(0)
+    elif box[0] <= LIBRARY:
+        best = spread(rows).withColumn("_best", _search_sorted(library, kind.simpleString())(number(a), number(b)))
+        return best.select(*[F.col(c) for c in rows.columns], F.col("_best._id").alias(template), F.sqrt("_best._d").alias("distance"))
     else:
         found = _search_rings(places.filter(good(F.col("_a"), F.col("_b"))), library, box)
     keyed = rows.withColumns({"_ka": number(a), "_kb": number(b)})
@@ -225,63 +308,65 @@ def range_join(
     return near.withColumn("distance", F.sqrt(squared)).filter(F.col("distance") <= radius).drop("_cx", "_cy", "_lx", "_ly")
 
 
-def asof_interpolate(rows: DataFrame, curve: DataFrame, keys: Sequence[str], x: str, cx: str, cy: str) -> DataFrame:
+def asof_interpolate(rows: DataFrame, curve: DataFrame, keys: Sequence[str], x: str, cx: str, cy: str, width: float | None = None) -> DataFrame:
     """Rows with the curve's value at x: linear between its points, flat beyond its ends; a key without points gives null.
 
-    The curve is a bounded list of points per key, kept in one sorted array, so rows are neither sorted nor united with it.
+    The stretches between neighbouring points are put into the bins of the given width that they touch (unless given, the
+    mean distance of the points), and rows meet them by key and bin: no curve is held in one row, and a hot key is spread over its bins.
+    Points at the same place count once, with the smallest value; a null x gives null.
     """
-    points = curve.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(cx).alias("x"), F.col(cy).alias("y")))).alias("_c"))
-    joined = rows.join(points, list(keys), "left")
-    below = F.try_element_at(F.filter("_c", lambda p: p["x"] <= F.col(x)), F.lit(-1))
-    above = F.get(F.filter("_c", lambda p: p["x"] > F.col(x)), 0)
-    with_ends = joined.withColumns({"_lo": below, "_hi": above})
-    inner = F.col("_lo.y") + (F.col("_hi.y") - F.col("_lo.y")) * (F.col(x) - F.col("_lo.x")) / (F.col("_hi.x") - F.col("_lo.x"))
-    value = F.when(F.col("_lo").isNull(), F.col("_hi.y")).when(F.col("_hi").isNull(), F.col("_lo.y")).otherwise(inner)
-    return with_ends.select(*[F.col(c) for c in rows.columns], value.alias("interpolated"))
-
-
-def kernel_discrepancy(df: DataFrame, key: str, vector: str, side: str, scales: Sequence[float], max_vectors: int = 50_000, block: int = 64) -> DataFrame:
+    points = curve.filter(F.col(cx).isNotNull()).groupBy(*keys, F.col(cx).cast("double").alias("_x0")).agg(F.min(cy).alias("_y0"))
+    if width is None:
+        n, low, high = points.agg(F.count(F.lit(1)), F.min("_x0"), F.max("_x0")).first()
+        width = (high - low) / n if n and high > low else 1.0
+    nxt = with_neighbours(points, keys, "_x0", width * 64, ["_y0"])
+    bin_of = lambda c: F.floor(c / width).cast("bigint")
+    stretches = nxt.filter("next__x0 is not null").withColumn("_b", F.explode(F.sequence(bin_of(F.col("_x0")), bin_of(F.col("next__x0")))))
+    stretches = stretches.select(*keys, "_b", "_x0", "_y0", F.col("next__x0").alias("_x1"), F.col("next__y0").alias("_y1"))
+    first, last = F.min_by("_y0", "_x0").alias("_y_first"), F.max_by("_y0", "_x0").alias("_y_last")
+    ends = points.groupBy(*keys).agg(F.min("_x0").alias("_x_first"), first, F.max("_x0").alias("_x_last"), last)
+    near = rows.withColumn("_b", bin_of(F.col(x)))
+    names = lambda df: df.select(*(F.col(k).alias(f"_r_{k}") if k in keys else F.col(k).alias("_r_b") if k == "_b" else F.col(k) for k in df.columns))
+    right = names(stretches)
+    on = (F.col("_b") == F.col("_r_b")) & (F.col(x) >= F.col("_x0")) & (F.col(x) < F.col("_x1"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_r_{k}"))
+    joined = near.join(right, on, "left").drop(*(f"_r_{k}" for k in keys), "_r_b").join(ends, list(keys), "left")
+    inner = F.col("_y0") + (F.col("_y1") - F.col("_y0")) * (F.col(x) - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))
+    value = F.when(F.col(x) < F.col("_x_first"), F.col("_y_first")).when(F.col(x) >= F.col("_x_last"), F.col("_y_last")).otherwise(inner)
+    return joined.select(*[F.col(c) for c in rows.columns], value.alias("interpolated"))
+
+
+def kernel_discrepancy_all(df: DataFrame, vector: str, side: str, scales: Sequence[float], block: int = 256) -> DataFrame:
     """(mmd): mean Gaussian kernel within both sides less twice that between them, pairs of a vector with itself included.
 
-    The two samples are a set of checked size, broadcast in blocks of vectors; the rows that scan them stay partitioned.
-    """
-    if df.limit(max_vectors + 1).count() > max_vectors:
-        raise ValueError(f"more than {max_vectors} vectors; pass samples")
-    blocks = df.groupBy(F.col(side).alias("_other"), F.floor(F.col(key) / block).alias("_b")).agg(F.collect_list(vector).alias("_es"))
-    spread = df.select(vector, side).join(F.broadcast(blocks), F.lit(True))
-
-    def kernel(x: Column) -> Column:
-        d = F.aggregate(F.zip_with(vector, x, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        parts = [F.exp(-d / (2 * s * s)) for s in scales]
-        return sum(parts[1:], parts[0])
-
-    sums = spread.groupBy(side, "_other").agg(
-        F.sum(F.aggregate(F.transform("_es", kernel), F.lit(0.0), lambda s, v: s + v)).alias("_k"), F.sum(F.size("_es")).alias("_n")
-    )
-    sign = F.when(F.col(side) == F.col("_other"), 1).otherwise(-1)
-    return sums.agg(F.sum(sign * F.col("_k") / F.col("_n")).alias("mmd"))
-
-
-def kernel_discrepancy_all(df: DataFrame, vector: str, side: str, scales: Sequence[float], block: int = 64) -> DataFrame:
-    """(mmd): kernel_discrepancy of any number of vectors; null vectors and sides are left out.
-
-    Every pair is counted.  The vectors are written in blocks of at most block, and blocks are paired with blocks partition
-    by partition, so no side is collected or broadcast; the work grows with the square of the vectors.
+    Every pair counts, so the work grows with the square of the vectors; null vectors and sides are left out.  The vectors
+    are stored in blocks of at most block; each pair of blocks is one row, its kernel sums are one matrix product, and the
+    pairs are spread over all tasks.  No side is collected or broadcast.
     """
-    valid = df.filter(F.col(vector).isNotNull() & F.col(side).isNotNull()).select(vector, side)
+    valid = df.filter(F.col(vector).isNotNull() & F.col(side).isNotNull()).select(F.col(vector).alias("_v"), F.col(side).alias("_s"))
     dealt = valid.repartition(valid.sparkSession.sparkContext.defaultParallelism)
     numbered = durable(dealt.withColumn("_n", F.monotonically_increasing_id()))
-    blocks = durable(numbered.groupBy(side, F.floor(F.col("_n") / block).alias("_b")).agg(F.collect_list(vector).alias("_es")))  # at most block vectors each
-    rows = blocks.select(F.col(side).alias("_s"), F.explode("_es").alias("_e"))
-    others = blocks.select(F.col(side).alias("_t"), F.col("_es").alias("_fs"))
-
-    def kernel(x: Column) -> Column:
-        d = F.aggregate(F.zip_with("_e", x, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        parts = [F.exp(-d / (2 * s * s)) for s in scales]
-        return sum(parts[1:], parts[0])
-
-    pairs = rows.crossJoin(others.hint("shuffle_replicate_nl"))
-    sums = pairs.groupBy("_s", "_t").agg(
-        F.sum(F.aggregate(F.transform("_fs", kernel), F.lit(0.0), lambda s, v: s + v)).alias("_k"), F.sum(F.size("_fs")).alias("_n")
-    )
-    return sums.agg(F.sum(F.when(F.col("_s") == F.col("_t"), 1).otherwise(-1) * F.col("_k") / F.col("_n")).alias("mmd"))
+    blocks = durable(numbered.groupBy("_s", F.floor(F.col("_n") / block).alias("_b")).agg(F.collect_list("_v").alias("_es")))  # at most block vectors each
+    others = blocks.select(F.col("_s").alias("_t"), F.col("_b").alias("_c"), F.col("_es").alias("_fs"))
+    pairs = blocks.crossJoin(others.hint("shuffle_replicate_nl")).filter("_s < _t or (_s = _t and _b <= _c)")
+
+    @F.pandas_udf("double")
+    def kernel_sum(es: pd.Series, fs: pd.Series) -> pd.Series:
+        sums = []
+        for x, y in zip(es, fs, strict=True):
+            x, y = np.stack(x).astype(float), np.stack(y).astype(float)
+            d = np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0.0)
+            sums.append(float(sum(np.exp(-d / (2 * s * s)).sum() for s in scales)))
+        return pd.Series(sums)
+
+    # a pair of two blocks of one side stands for both orders, as does the pair of two sides
+    twice = F.when((F.col("_s") == F.col("_t")) & (F.col("_b") == F.col("_c")), 1).otherwise(2)
+    sums = pairs.select("_s", "_t", twice.alias("_w"), kernel_sum("_es", "_fs").alias("_k"))
+    sizes = blocks.groupBy("_s").agg(F.sum(F.size("_es")).alias("_n"))  # one row per side
+    same, apart = F.col("_s") == F.col("_t"), F.col("_s") != F.col("_t")
+    totals = sums.groupBy("_s", "_t").agg(F.sum(F.col("_w") * F.col("_k")).alias("_k"))
+    counts = totals.join(sizes, "_s").join(sizes.select(F.col("_s").alias("_t"), F.col("_n").alias("_m")), "_t")
+    return counts.agg((F.sum(F.when(same, F.col("_k") / (F.col("_n") * F.col("_m")))) - F.coalesce(F.sum(F.when(apart, F.col("_k") / (F.col("_n") * F.col("_m")))), F.lit(0.0))).alias("mmd"))
+
+

@@ -12,30 +12,47 @@ from starloom.operators.grids import connected_cells, neighbours
 
 SPEED_OF_LIGHT = 299792.458
 
-# Optical branch of a published mean extinction law, coefficients of x - 1.82 in rising powers.
+# Optical branch of the mean extinction law of Cardelli, Clayton and Mathis (1989), coefficients of x - 1.82 in rising powers.
 EXTINCTION_A = [1.0, 0.17699, -0.50447, -0.02427, 0.72085, 0.01979, -0.7753, 0.32999]
 EXTINCTION_B = [0.0, 1.41338, 2.28305, 1.07233, -5.38434, -0.62251, 5.3026, -2.09002]
 
 
+# Ultraviolet branch (offset, slope, height, place and width of the bump), its curvature beyond 5.9 per micron
+# and the far-ultraviolet branch in powers of x - 8, from the same law.
+EXTINCTION_UV = {"a": (1.752, -0.316, -0.104, 4.67, 0.341), "b": (-3.090, 1.825, 1.206, 4.62, 0.263)}
+EXTINCTION_CURVE = {"a": (-0.04473, -0.009779), "b": (0.2130, 0.1207)}
+EXTINCTION_FAR = {"a": [-1.073, -0.628, 0.137, -0.070], "b": [13.670, 4.257, -0.420, 0.374]}
+
+
+def _horner(c: Sequence[float], y: Column) -> Column:
+    total = F.lit(c[-1])
+    for value in reversed(c[:-1]):
+        total = total * y + value
+    return total
+
+
 def extinction(wave_micron: Column, a_v: Column, r_v: float = 3.1) -> Column:
-    """Extinction in magnitudes at a wavelength: infrared power law under 1.1 per micron, optical polynomial up to 3.3.
+    """Extinction in magnitudes at a wavelength, by the mean law of Cardelli, Clayton and Mathis (1989).
 
-    Beyond that the law is not given and the result is 0, as it is for negative values.
+    Infrared power law from 0.3 to 1.1 per micron, optical polynomial up to 3.3, ultraviolet up to 8 and far ultraviolet
+    beyond.  Under 0.3 per micron no law is given and the result is null; negative values become 0.
     """
     x = 1 / wave_micron
+    power = F.pow(x, F.lit(1.61))
+    over = F.greatest(x - 5.9, F.lit(0.0))
 
-    def polynomial(c: Sequence[float]) -> Column:
-        y = x - 1.82
-        total = F.lit(c[-1])
-        for value in reversed(c[:-1]):
-            total = total * y + value
-        return total
+    def ultraviolet(part: str) -> Column:
+        offset, slope, height, place, width = EXTINCTION_UV[part]
+        square, cube = EXTINCTION_CURVE[part]
+        return offset + slope * x + height / ((x - place) ** 2 + width) + square * over**2 + cube * over**3
 
-    power = F.pow(x, F.lit(1.61))
-    infrared = 0.574 * power - 0.527 * power / r_v
-    optical = polynomial(EXTINCTION_A) + polynomial(EXTINCTION_B) / r_v
-    law = F.when((x >= 0.3) & (x < 1.1), infrared).when((x >= 1.1) & (x <= 3.3), optical)
-    return F.coalesce(F.greatest(F.lit(0.0), law * a_v), F.lit(0.0))
+    def law(infrared: Column, optical: Sequence[float], part: str) -> Column:
+        return (
+            F.when(x < 0.3, None).when(x < 1.1, infrared).when(x <= 3.3, _horner(optical, x - 1.82)).when(x <= 8, ultraviolet(part)).otherwise(_horner(EXTINCTION_FAR[part], x - 8))
+        )
+
+    ratio = law(0.574 * power, EXTINCTION_A, "a") + law(-0.527 * power, EXTINCTION_B, "b") / r_v
+    return F.when(ratio.isNotNull() & a_v.isNotNull(), F.greatest(F.lit(0.0), ratio * a_v))
 
 
 def rest_wave(wave: Column, velocity: Column) -> Column:
@@ -114,10 +131,10 @@ def second_peaks(maxima: DataFrame, keys: Sequence[str], share: float, apart: fl
     return joined.groupBy(*keys, "n_peaks").agg(F.count_if(away & (F.col("value") >= share * F.col("_p.value"))).alias("n_second"))
 
 
-def islands_kept(cells: DataFrame, keys: Sequence[str], least: int, largest_only: bool = False, keep_small: bool = False) -> DataFrame:
+def islands_kept(cells: DataFrame, keys: Sequence[str], least: int, largest_only: bool = False, keep_small: bool = False, bins: int | None = None) -> DataFrame:
     """Cells of islands of at least least cells; largest_only keeps the greatest (the first of equals) and, with keep_small,
     keeps it even if it is under the limit."""
-    named = connected_cells(cells, keys)
+    named = connected_cells(cells, keys, bins)
     sizes = named.groupBy(*keys, "island").agg(F.count(F.lit(1)).alias("_n"))
     if largest_only:
         top = sizes.groupBy(*keys).agg(F.min_by(F.struct("island", "_n"), F.struct((-F.col("_n")).alias("a"), F.col("island").alias("b"))).alias("_t"))

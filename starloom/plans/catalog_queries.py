@@ -9,6 +9,7 @@ from starloom.functions import scalars as S
 from starloom.functions.galaxies import canonical_id, galaxy_id
 from starloom.operators import catalog as C
 from starloom.plans.registry import Registry
+from starloom.plans.views import PARTICLES_SQL, particles
 from starloom.sources.tables import table
 
 registry = Registry()
@@ -277,14 +278,13 @@ def id_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rounded_coordinate_join",
-    "WITH p AS (SELECT pid, round(x, 2) AS a, round(y, 2) AS b, component FROM particles WHERE galaxy_id IS NOT NULL) "
-    "SELECT s.pid AS star, g.pid AS gas FROM p s JOIN p g USING (a, b) WHERE s.component = 'star' AND g.component = 'gas'",
+    f"WITH {PARTICLES_SQL}, r AS (SELECT galaxy_id, pid, round(x, 2) AS a, round(y, 2) AS b, component FROM p) "
+    "SELECT s.pid AS star, g.pid AS gas FROM r s JOIN r g USING (galaxy_id, a, b) WHERE s.component = 'star' AND g.component = 'gas'",
 )
 def rounded_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stars and gas cells at the same rounded place."""
-    rows = table(spark, sf_dir, "particles").filter("galaxy_id is not null").select("pid", "component", F.round("x", 2).alias("a"), F.round("y", 2).alias("b"))
-    of = lambda c, name: rows.filter(F.col("component") == c).select("a", "b", F.col("pid").alias(name))
-    return of("star", "star").join(of("gas", "gas"), ["a", "b"]).select("star", "gas")
+    """Stars and gas cells of one galaxy at the same rounded place; the galaxy and the place are the key."""
+    of = lambda c, name: particles(spark, sf_dir, c).select("galaxy_id", F.round("x", 2).alias("a"), F.round("y", 2).alias("b"), F.col("pid").alias(name))
+    return of("star", "star").join(of("gas", "gas"), ["galaxy_id", "a", "b"]).select("star", "gas")
 
 
 @query("views_per_listing", "SELECT n_views, count(*) AS n FROM (SELECT len(regexp_extract_all(regexp_replace(coalesce(views, ''), '(?i)=?tng50[-_0-9]+', '', 'g'), '\\d+')) AS n_views FROM wave2_manifest) GROUP BY 1")

@@ -238,7 +238,7 @@ def closing_3x3(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Islands of signal cells per galaxy, named by their first cell, with their size."""
-    islands = G.connected_cells(signal_cells(spark, sf_dir), KEY)
+    islands = G.connected_cells(signal_cells(spark, sf_dir), KEY, BINS)
     first = F.split("island", r"\|")
     name = F.try_element_at(first, F.lit(2)).cast("int") * 100 + F.try_element_at(first, F.lit(3)).cast("int")
     return islands.groupBy("galaxy_id", name.alias("island")).agg(F.count(F.lit(1)).alias("n_cells"))

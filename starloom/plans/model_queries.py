@@ -30,28 +30,16 @@ def midpoint_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.midpoint_nodes(rows, nodes, "x", "node").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "node_histogram",
-    "WITH n AS (SELECT DISTINCT p_size * 1.0::DOUBLE AS node FROM part WHERE p_size % 5 = 0), m AS (SELECT node, (lag(node) OVER (ORDER BY node) + node) / 2 AS lo, (lead(node) OVER (ORDER BY node) + node) / 2 AS hi FROM n) "
+_NODES_SQL = (
+    "WITH n AS (SELECT DISTINCT p_size * 1.0::DOUBLE AS node FROM part), m AS (SELECT node, (lag(node) OVER (ORDER BY node) + node) / 2 AS lo, (lead(node) OVER (ORDER BY node) + node) / 2 AS hi FROM n) "
     "SELECT a.node AS age, b.node AS met, count(*) AS n, round(sum(l_extendedprice), 2) AS flux FROM lineitem JOIN m a ON (a.lo IS NULL OR l_quantity > a.lo) AND (a.hi IS NULL OR l_quantity <= a.hi) "
-    "JOIN m b ON (b.lo IS NULL OR l_discount * 500 > b.lo) AND (b.hi IS NULL OR l_discount * 500 <= b.hi) GROUP BY 1, 2",
+    "JOIN m b ON (b.lo IS NULL OR l_discount * 500 > b.lo) AND (b.hi IS NULL OR l_discount * 500 <= b.hi) GROUP BY 1, 2"
 )
-def node_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-dimensional histogram over the nearest nodes of two axes."""
-    nodes = table(spark, sf_dir, "part").filter("p_size % 5 = 0").select(F.col("p_size").cast("double").alias("node"))
-    rows = table(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_discount") * 500).alias("d"), "l_extendedprice")
-    first = M.midpoint_nodes(rows, nodes, "l_quantity", "node").withColumnRenamed("node", "age")
-    both = M.midpoint_nodes(first, nodes, "d", "node").withColumnRenamed("node", "met")
-    return both.groupBy("age", "met").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("flux"))
 
 
-@query(
-    "node_histogram_all",
-    "WITH n AS (SELECT DISTINCT p_size * 1.0::DOUBLE AS node FROM part), m AS (SELECT node, (lag(node) OVER (ORDER BY node) + node) / 2 AS lo, (lead(node) OVER (ORDER BY node) + node) / 2 AS hi FROM n) "
-    "SELECT a.node AS age, b.node AS met, count(*) AS n, round(sum(l_extendedprice), 2) AS flux FROM lineitem JOIN m a ON (a.lo IS NULL OR l_quantity > a.lo) AND (a.hi IS NULL OR l_quantity <= a.hi) "
-    "JOIN m b ON (b.lo IS NULL OR l_discount * 500 > b.lo) AND (b.hi IS NULL OR l_discount * 500 <= b.hi) GROUP BY 1, 2",
-)
-def node_histogram_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("node_histogram", _NODES_SQL)
+@query("node_histogram_all", _NODES_SQL)
+def node_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-dimensional histogram over the nearest of all nodes of two axes."""
     nodes = table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("node"))
     rows = table(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_discount") * 500).alias("d"), "l_extendedprice")

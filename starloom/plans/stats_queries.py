@@ -174,22 +174,15 @@ def embedding_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- joins that need a helper
 
 
-@query("nearest_template", "WITH t AS (SELECT p_partkey AS template, p_size / 10.0 AS a, p_retailprice / 200.0 AS b FROM part WHERE p_partkey <= 30), c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity / 10.0 AS a, l_extendedprice / 10000.0 AS b FROM lineitem) "
-       "SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, arg_min(template, {'d': (t.a - c.a) * (t.a - c.a) + (t.b - c.b) * (t.b - c.b), 'i': template}) AS template FROM c, t GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, c.a, c.b")
-def nearest_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closest of a small library of templates for each row."""
-    library = table(spark, sf_dir, "part").filter("p_partkey <= 30").select(
-        F.col("p_partkey").alias("template"), (F.col("p_size") / 10.0).alias("a"), (F.col("p_retailprice") / 200.0).alias("b")
-    )
-    rows = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity") / 10.0).alias("a"), (F.col("l_extendedprice") / 10000.0).alias("b")
-    )
-    return T.nearest_template(rows, library, ["a", "b"], "template").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "template").distinct()
+_NEAREST_SQL = (
+    "WITH t AS (SELECT p_partkey AS template, p_size / 10.0 AS a, p_retailprice / 200.0 AS b FROM part), c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity / 10.0 AS a, l_extendedprice / 10000.0 AS b FROM lineitem) "
+    "SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, arg_min(template, {'d': (t.a - c.a) * (t.a - c.a) + (t.b - c.b) * (t.b - c.b), 'i': template}) AS template FROM c, t GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, c.a, c.b"
+)
 
 
-@query("nearest_template_all", "WITH t AS (SELECT p_partkey AS template, p_size / 10.0 AS a, p_retailprice / 200.0 AS b FROM part), c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity / 10.0 AS a, l_extendedprice / 10000.0 AS b FROM lineitem) "
-       "SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, arg_min(template, {'d': (t.a - c.a) * (t.a - c.a) + (t.b - c.b) * (t.b - c.b), 'i': template}) AS template FROM c, t GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, c.a, c.b")
-def nearest_template_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("nearest_template", _NEAREST_SQL)
+@query("nearest_template_all", _NEAREST_SQL)
+def nearest_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closest of all templates for each row."""
     library = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("template"), (F.col("p_size") / 10.0).alias("a"), (F.col("p_retailprice") / 200.0).alias("b")
@@ -219,7 +212,7 @@ def asof_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spectra(spark, sf_dir)
     day = F.floor(F.col("wave") / 86400).cast("int") * 86400.0 + 43200
     curve = rows.groupBy("kind", day.alias("x")).agg(F.avg("flux").alias("y"))
-    found = T.asof_interpolate(rows.select("event_id", "kind", "wave"), curve, ["kind"], "wave", "x", "y")
+    found = T.asof_interpolate(rows.select("event_id", "kind", "wave"), curve, ["kind"], "wave", "x", "y", 86400.0)
     return found.select("event_id", F.round("interpolated", 5).alias("daily"))
 
 
@@ -254,33 +247,6 @@ def spectral_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("spaxel", "k", F.round("resampled", 5).alias("flux"))
 
 
-HOURS_SQL = SPECTRA_SQL + ", h AS (SELECT kind, floor(wave / 21600)::INTEGER AS k, avg(flux) AS flux FROM e GROUP BY 1, 2), d AS (SELECT * FROM h WHERE k <= 100)"
-
-
-def _even_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean flux per kind on 101 points six hours apart."""
-    k = F.floor(F.col("wave") / 21600).cast("int")
-    return spectra(spark, sf_dir).groupBy("kind", k.alias("k")).agg(F.avg("flux").alias("flux")).filter("k <= 100")
-
-
-def _simpson_sql(even: str) -> str:
-    return (
-        f"WITH {HOURS_SQL}, m AS (SELECT *, max(k) OVER (PARTITION BY kind) AS z FROM d) SELECT kind, round(0.25 / 3 * (sum(CASE WHEN k = 0 OR k = z THEN flux ELSE 0 END) + "
-        f"4 * sum(CASE WHEN k % 2 = 1 AND k > 0 AND k < z THEN flux ELSE 0 END) + 2 * coalesce({even}, 0)), 5) AS integral FROM m GROUP BY 1"
-    )
-
-
-@query("simpson", _simpson_sql("sum(CASE WHEN k % 2 = 0 AND k > 0 AND k < z THEN flux END)"))
-def simpson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.simpson(_even_points(spark, sf_dir), ["kind"], "k", "flux", 0.25).select("kind", F.round("integral", 5).alias("integral"))
-
-
-@query("simpson_legacy", _simpson_sql("count(*) FILTER (k % 2 = 0 AND k > 0 AND k < z) * max(CASE WHEN k = z - 1 THEN flux END)"))
-def simpson_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the fault of old products, for comparison."""
-    return X.simpson(_even_points(spark, sf_dir), ["kind"], "k", "flux", 0.25, legacy=True).select("kind", F.round("integral", 5).alias("integral"))
-
-
 def _all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean flux per kind on points six hours apart, to the last one."""
     k = F.floor(F.col("wave") / 21600).cast("int")
@@ -295,14 +261,20 @@ def _simpson_all_sql(even: str) -> str:
     )
 
 
-@query("simpson_all", _simpson_all_sql("sum(flux) FILTER (k % 2 = 0 AND k > 0 AND k < y)"))
-def simpson_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+_SIMPSON_SQL = _simpson_all_sql("sum(flux) FILTER (k % 2 = 0 AND k > 0 AND k < y)")
+_LEGACY_SQL = _simpson_all_sql("count(*) FILTER (k % 2 = 0 AND k > 0 AND k < y) * max(flux) FILTER (k = y - 1)")
+
+
+@query("simpson", _SIMPSON_SQL)
+@query("simpson_all", _SIMPSON_SQL)
+def simpson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simpson's rule over the whole spectrum."""
     return X.simpson_closed(_all_points(spark, sf_dir), ["kind"], "k", "flux", 0.25).select("kind", F.round("integral", 5).alias("integral"))
 
 
-@query("simpson_all_legacy", _simpson_all_sql("count(*) FILTER (k % 2 = 0 AND k > 0 AND k < y) * max(flux) FILTER (k = y - 1)"))
-def simpson_all_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("simpson_legacy", _LEGACY_SQL)
+@query("simpson_all_legacy", _LEGACY_SQL)
+def simpson_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole spectrum with the fault of old products, for comparison."""
     return X.simpson_closed(_all_points(spark, sf_dir), ["kind"], "k", "flux", 0.25, legacy=True).select("kind", F.round("integral", 5).alias("integral"))
 
@@ -372,17 +344,15 @@ def success_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCALES = [1.0, 2.0, 4.0, 8.0]
 
 
-@query("mmd_rbf", "WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e, label % 2 AS side FROM embeddings WHERE label < 2), p AS (SELECT a.side AS s, b.side AS t, list_sum(list_transform(list_zip(a.e, b.e), lambda z: pow(z[1] - z[2], 2))) AS d FROM m a, m b) "
-       "SELECT round(sum(CASE WHEN s = t THEN k / n ELSE -k / n END), 5) AS mmd FROM (SELECT s, t, sum(" + " + ".join(f"exp(-d / {2 * s * s})" for s in _SCALES) + ") AS k, count(*) AS n FROM p GROUP BY 1, 2)")
-def mmd_rbf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kernel discrepancy of two labels' vectors."""
-    rows = table(spark, sf_dir, "embeddings").filter("label < 2").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), (F.col("label") % 2).alias("side"))
-    return T.kernel_discrepancy(rows, "vec_id", "e", "side", _SCALES).select(F.round("mmd", 5).alias("mmd"))
+_MMD_SQL = (
+    "WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e, label % 2 AS side FROM embeddings), p AS (SELECT a.side AS s, b.side AS t, list_sum(list_transform(list_zip(a.e, b.e), lambda z: pow(z[1] - z[2], 2))) AS d FROM m a, m b) "
+    "SELECT round(sum(CASE WHEN s = t THEN k / n ELSE -k / n END), 5) AS mmd FROM (SELECT s, t, sum(" + " + ".join(f"exp(-d / {2 * s * s})" for s in _SCALES) + ") AS k, count(*) AS n FROM p GROUP BY 1, 2)"
+)
 
 
-@query("mmd_rbf_all", "WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e, label % 2 AS side FROM embeddings), p AS (SELECT a.side AS s, b.side AS t, list_sum(list_transform(list_zip(a.e, b.e), lambda z: pow(z[1] - z[2], 2))) AS d FROM m a, m b) "
-       "SELECT round(sum(CASE WHEN s = t THEN k / n ELSE -k / n END), 5) AS mmd FROM (SELECT s, t, sum(" + " + ".join(f"exp(-d / {2 * s * s})" for s in _SCALES) + ") AS k, count(*) AS n FROM p GROUP BY 1, 2)")
-def mmd_rbf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("mmd_rbf", _MMD_SQL)
+@query("mmd_rbf_all", _MMD_SQL)
+def mmd_rbf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernel discrepancy of the vectors of even and of odd labels, all of them."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("e"), (F.col("label") % 2).alias("side"))
     return T.kernel_discrepancy_all(rows, "e", "side", _SCALES).select(F.round("mmd", 5).alias("mmd"))

@@ -27,17 +27,37 @@ def _poly(c: list[float]) -> str:
     return text
 
 
-@query(
-    "extinction_curve",
-    f"WITH {SPECTRA_SQL}, w AS (SELECT event_id, 0.25::DOUBLE + (event_id % 300) / 100.0 AS m, 1 / (0.25::DOUBLE + (event_id % 300) / 100.0) AS x, 1 / (0.25::DOUBLE + (event_id % 300) / 100.0) - 1.82 AS y, flux / 500 AS av FROM e) "
-    f"SELECT event_id, round(CASE WHEN x >= 0.3 AND x < 1.1 THEN greatest(0.0, (0.574 * pow(x, 1.61) - 0.527 * pow(x, 1.61) / 3.1) * av) WHEN x >= 1.1 AND x <= 3.3 THEN greatest(0.0, ({_poly(V.EXTINCTION_A)} + {_poly(V.EXTINCTION_B)} / 3.1) * av) ELSE 0.0 END, 6) AS mag FROM w",
-)
+def _extinction_sql(wave: str) -> str:
+    """The law written out for DuckDB: magnitudes per event at a wavelength in micron."""
+    uv = {c: f"{o} + {s} * x + {h} / (pow(x - {p}, 2) + {w}) + CASE WHEN x > 5.9 THEN {q} * pow(x - 5.9, 2) + {k} * pow(x - 5.9, 3) ELSE 0 END" for c, (o, s, h, p, w), (q, k) in ((c, V.EXTINCTION_UV[c], V.EXTINCTION_CURVE[c]) for c in "ab")}
+    far = {c: " + ".join(f"{v} * pow(x - 8, {n})" for n, v in enumerate(V.EXTINCTION_FAR[c])) for c in "ab"}
+    branches = [
+        ("x < 1.1", "0.574 * pow(x, 1.61)", "-0.527 * pow(x, 1.61)"),
+        ("x <= 3.3", _poly(V.EXTINCTION_A), _poly(V.EXTINCTION_B)),
+        ("x <= 8", uv["a"], uv["b"]),
+        ("x > 8", far["a"], far["b"]),
+    ]
+    cases = " ".join(f"WHEN {when} THEN ({a}) + ({b}) / 3.1" for when, a, b in branches)
+    return (
+        f"WITH {SPECTRA_SQL}, w AS (SELECT event_id, 1 / ({wave}) AS x, 1 / ({wave}) - 1.82 AS y, flux / 500 AS av FROM e), r AS (SELECT event_id, av, CASE WHEN x >= 0.3 THEN CASE {cases} END END AS ratio FROM w) "
+        "SELECT event_id, round(CASE WHEN ratio * av IS NOT NULL THEN greatest(0.0, ratio * av) END, 6) AS mag FROM r"
+    )
+
+
+@query("extinction_curve", _extinction_sql("0.25::DOUBLE + (event_id % 300) / 100.0"))
 def extinction_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extinction of each event at a wavelength given by its id; 0 where the law isn't given."""
+    """Extinction of each event at a wavelength given by its id, from the near ultraviolet to the infrared."""
     wave = 0.25 + (F.col("event_id") % 300) / 100.0
     return spectra(spark, sf_dir).select("event_id", F.round(V.extinction(wave, F.col("flux") / 500), 6).alias("mag"))
 
 
+@query("extinction_ultraviolet", _extinction_sql("0.0917::DOUBLE + (event_id % 400) / 1000.0"))
+def extinction_ultraviolet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extinction of each event at a wavelength given by its id, from the far ultraviolet to the optical."""
+    wave = 0.0917 + (F.col("event_id") % 400) / 1000.0
+    return spectra(spark, sf_dir).select("event_id", F.round(V.extinction(wave, F.col("flux") / 500), 6).alias("mag"))
+
+
 @query("rest_frame", f"WITH {SPECTRA_SQL} SELECT event_id, round((4000.0 + wave / 1000) / (1 + (flux - 250) / 299792.458), 5) AS rest, round(22.5 - 2.5 * log10(greatest(flux, 1e-30)), 5) AS mag, round(1 / sqrt(flux), 6) AS sigma FROM e WHERE flux > 0")
 def rest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spectra(spark, sf_dir).filter("flux > 0")
@@ -73,34 +93,27 @@ def concentration_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.line_fit(rows, ["snap"], "x", "y").select("snap", "n", F.round("slope", 5).alias("slope"), F.round("r2", 5).alias("r2"))
 
 
-@query("label_transitions", HARD_SQL + ", j AS (SELECT a.label AS old, b.label AS new FROM m a JOIN m b USING (iy, ix) WHERE a.snap = '89' AND b.snap = '90') SELECT old, new, count(*) AS n, round(count(*) / (SELECT count(*) FROM j), 6) AS share FROM j GROUP BY 1, 2")
-def label_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label changes of the cells between the stacks of two snapshots."""
-    labels = hard_labels(spark, sf_dir)
-    found = V.label_transitions(labels.filter("snap = '89'"), labels.filter("snap = '90'"), ["iy", "ix"], "label")
-    return found.select("old", "new", "n", F.round("share", 6).alias("share"))
-
-
-@query("run_agreement", SHARES_SQL + ", j AS (SELECT a.disk AS a, b.disk AS b FROM h a JOIN h b USING (iy, ix) WHERE a.snap = '89' AND b.snap = '90') SELECT count(*) AS n, round(corr(a, b), 5) AS pearson, round(sqrt(avg(pow(b - a, 2))), 6) AS rmse, round(avg(b - a), 6) AS bias FROM j")
-def run_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = class_shares(spark, sf_dir)
-    found = V.run_agreement(shares.filter("snap = '89'"), shares.filter("snap = '90'"), ["iy", "ix"], "disk")
-    return found.select("n", F.round("pearson", 5).alias("pearson"), F.round("rmse", 6).alias("rmse"), F.round("bias", 6).alias("bias"))
+_NEXT = ", r AS (SELECT snap, lead(snap) OVER (ORDER BY TRY_CAST(snap AS BIGINT), snap) AS next FROM (SELECT DISTINCT snap FROM {0} WHERE TRY_CAST(snap AS BIGINT) IS NOT NULL)), j AS (SELECT a.snap, r.next, a.{1} AS a, b.{1} AS b FROM {0} a JOIN r ON a.snap = r.snap JOIN {0} b ON b.snap = r.next AND a.iy = b.iy AND a.ix = b.ix)"
 
 
-_NEXT = ", r AS (SELECT snap, lead(snap) OVER (ORDER BY TRY_CAST(snap AS BIGINT), snap) AS next FROM (SELECT DISTINCT snap FROM {0} WHERE TRY_CAST(snap AS BIGINT) IS NOT NULL)), j AS (SELECT a.snap, r.next, a.{1} AS a, b.{1} AS b FROM {0} a JOIN r ON a.snap = r.snap JOIN {0} b ON b.snap = r.next AND a.iy = b.iy AND a.ix = b.ix)"
+_LABEL_TRANSITIONS_SQL = HARD_SQL + _NEXT.format("m", "label") + " SELECT snap, next, a AS old, b AS new, count(*) AS n, round(count(*) / any_value(t), 6) AS share FROM (SELECT *, count(*) OVER (PARTITION BY snap) AS t FROM j) GROUP BY 1, 2, 3, 4"
 
 
-@query("label_transitions_all", HARD_SQL + _NEXT.format("m", "label") + " SELECT snap, next, a AS old, b AS new, count(*) AS n, round(count(*) / any_value(t), 6) AS share FROM (SELECT *, count(*) OVER (PARTITION BY snap) AS t FROM j) GROUP BY 1, 2, 3, 4")
-def label_transitions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("label_transitions", _LABEL_TRANSITIONS_SQL)
+@query("label_transitions_all", _LABEL_TRANSITIONS_SQL)
+def label_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label changes of the cells from each snapshot to the next."""
     counts = V.next_runs(hard_labels(spark, sf_dir), "snap", ["iy", "ix"], "label").groupBy("snap", "next", "old", "new").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("snap").agg(F.sum("n").alias("t"))
     return counts.join(totals, "snap").select("snap", "next", "old", "new", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))
 
 
-@query("run_agreement_all", SHARES_SQL + _NEXT.format("h", "disk") + " SELECT snap, next, count(*) AS n, round(CASE WHEN count(*) > 1 AND var_pop(a) > 0 AND var_pop(b) > 0 THEN corr(a, b) ELSE 0 END, 5) AS pearson, round(sqrt(avg(pow(b - a, 2))), 6) AS rmse, round(avg(b - a), 6) AS bias FROM j GROUP BY 1, 2")
-def run_agreement_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+_RUN_AGREEMENT_SQL = SHARES_SQL + _NEXT.format("h", "disk") + " SELECT snap, next, count(*) AS n, round(CASE WHEN count(*) > 1 AND var_pop(a) > 0 AND var_pop(b) > 0 THEN corr(a, b) ELSE 0 END, 5) AS pearson, round(sqrt(avg(pow(b - a, 2))), 6) AS rmse, round(avg(b - a), 6) AS bias FROM j GROUP BY 1, 2"
+
+
+@query("run_agreement", _RUN_AGREEMENT_SQL)
+@query("run_agreement_all", _RUN_AGREEMENT_SQL)
+def run_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agreement of the disk shares of each snapshot with the next."""
     gap = F.col("new") - F.col("old")
     found = V.next_runs(class_shares(spark, sf_dir), "snap", ["iy", "ix"], "disk").groupBy("snap", "next").agg(
@@ -148,13 +161,13 @@ _ISLANDS = (
 @query("islands_kept", _ISLANDS + "SELECT i.galaxy_id, (a // 100)::INTEGER AS iy, (a % 100)::INTEGER AS ix, n AS island_size FROM i JOIN z USING (galaxy_id, island) WHERE n >= 3")
 def islands_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal cells without islands of under three cells."""
-    return V.islands_kept(signal_cells(spark, sf_dir), KEY, 3)
+    return V.islands_kept(signal_cells(spark, sf_dir), KEY, 3, bins=BINS)
 
 
 @query("largest_island", _ISLANDS + ", l AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY galaxy_id ORDER BY n DESC, island) = 1) SELECT i.galaxy_id, (a // 100)::INTEGER AS iy, (a % 100)::INTEGER AS ix, n AS island_size FROM i JOIN l USING (galaxy_id, island)")
 def largest_island(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the largest island of each galaxy, however small."""
-    return V.islands_kept(signal_cells(spark, sf_dir), KEY, 0, largest_only=True, keep_small=True)
+    return V.islands_kept(signal_cells(spark, sf_dir), KEY, 0, largest_only=True, keep_small=True, bins=BINS)
 
 
 _C, _S, _M = math.cos(math.radians(30.0)), math.sin(math.radians(30.0)), (BINS - 1) / 2

@@ -166,7 +166,8 @@ def test_turning_four_times_is_nothing(spark):
     assert sorted(G.dihedral(df, 4, 2, False).collect()) == sorted(G.dihedral(G.dihedral(df, 4, 1, False), 4, 1, False).collect())
 
 
-def test_islands_against_flood_fill(spark):
+@pytest.mark.parametrize("bins", [None, 12])
+def test_islands_against_flood_fill(spark, bins):
     rng = np.random.default_rng(8)
     cells = [("g", y, x) for y in range(12) for x in range(12) if rng.random() < 0.45] + [("h", 0, 0), ("h", 0, 2)]
     left, expected = set(cells), {}
@@ -181,12 +182,13 @@ def test_islands_against_flood_fill(spark):
                     queue.append(n)
         left -= island
         expected |= {c: first for c in island}
-    found = G.connected_cells(spark.createDataFrame(cells, "k string, iy int, ix int"), ["k"]).collect()
+    found = G.connected_cells(spark.createDataFrame(cells, "k string, iy int, ix int"), ["k"], bins).collect()
     names = {}
     for r in found:
         names.setdefault(r["island"], set()).add((r["k"], r["iy"], r["ix"]))
     assert sorted(map(sorted, names.values())) == sorted(sorted(c for c in expected if expected[c] == f) for f in set(expected.values()))
-    assert G.connected_cells(spark.createDataFrame([], "k string, iy int, ix int"), ["k"]).count() == 0
+    assert {f"{k}|{y:05d}|{x:05d}" for k, y, x in expected.values()} == set(names)
+    assert G.connected_cells(spark.createDataFrame([], "k string, iy int, ix int"), ["k"], bins).count() == 0
 
 
 def test_closing_fills_a_hole(spark):
@@ -269,8 +271,10 @@ def test_nearest_template(spark, monkeypatch, unrolled):
     assert [r["t"] for r in T.nearest_template(rows, library.limit(0), ["a", "b"], "t").collect()] == [None] * 3
 
 
+@pytest.mark.parametrize("library_bound", [T.LIBRARY, 0])
 @pytest.mark.parametrize("shape", ["plane", "line", "point", "clusters"])
-def test_nearest_in_plane_against_brute_force(spark, shape):
+def test_nearest_in_plane_against_brute_force(spark, monkeypatch, shape, library_bound):
+    monkeypatch.setattr(T, "LIBRARY", library_bound)
     rng = np.random.default_rng(4)
     library = rng.integers(0, 40, (300, 2)) / 4.0
     if shape == "line":
