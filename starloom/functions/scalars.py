@@ -143,3 +143,64 @@ def all_agree(values: list[Column], wanted: Column) -> Column:
     """Whether all filled values equal wanted; null if none is filled."""
     filled = F.filter(F.array(*values), lambda v: v.isNotNull())
     return F.when(F.size(filled) > 0, F.forall(filled, lambda v: v == wanted))
+
+
+def truth(text: Column) -> Column:
+    """Whether a text says yes: 1, true, yes or y in any case; everything else, null too, is no."""
+    return F.coalesce(F.lower(F.trim(text)).isin("1", "true", "yes", "y"), F.lit(False))
+
+
+def clamped_int(text: Column, default: int, low: int, high: int) -> Column:
+    """Whole number from a text, the default where it is none, kept within bounds."""
+    return F.greatest(F.lit(low), F.least(F.coalesce(text.try_cast("int"), F.lit(default)), F.lit(high)))
+
+
+def point_limit(wanted: Column, upper: int) -> Column:
+    """How many points to show: 0, negative or null means all up to upper."""
+    return F.when(wanted > 0, F.least(wanted, F.lit(upper))).otherwise(F.lit(upper))
+
+
+def noise_shape(wave: Column) -> Column:
+    """Throughput of a spectrograph over wavelength: logistic edges of 100 at 3900 and 10100, on a floor of 1."""
+    return 1 / (1 + F.exp(-(wave - 3900) / 100)) / (1 + F.exp((wave - 10100) / 100)) + 1
+
+
+def noise_amplitude(wave: Column, level: Column, signal_to_noise: float = 5.0) -> Column:
+    """Noise amplitude at a wavelength for a flux level; 1.7361 is the gain of combining dithers."""
+    return 3.0 * level / (signal_to_noise / 1.7361) / noise_shape(wave)
+
+
+def isotropic_views() -> list[tuple[float, float, float]]:
+    """The six view directions of an icosahedron turned so that one vertex lies on x: by falling x, y and z."""
+    golden = (1 + math.sqrt(5)) / 2
+    norm = math.hypot(1, golden)
+    c, s = golden / norm, 1 / norm
+    corners = [(a * p, b * q, 0.0) for p in (1, -1) for q in (1, -1) for a, b in ((1, golden),)]
+    corners = [v for x, y, z in corners for v in ((x, y, z), (z, x, y), (y, z, x))]
+    turned = [tuple(round(v / norm, 12) + 0.0 for v in (c * x + s * z, y, c * z - s * x)) for x, y, z in corners]
+    return sorted((v for v in turned if v[0] > 0), reverse=True)
+
+
+def view_vector(view: Column, repeats: Column) -> Column:
+    """Direction of a view: a coordinate axis where a galaxy has at most three views, else an isotropic one; null beyond the last."""
+    arrays = lambda rows: F.array(*(F.array(*map(F.lit, r)) for r in rows))
+    axes = arrays([(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)])
+    return F.when(repeats <= 3, F.get(axes, view)).otherwise(F.get(arrays(isotropic_views()), view))
+
+
+def json_vector(text: Column, name: str, long_name: str) -> Column:
+    """Vector of three numbers from JSON under any of three namings: name_x, name_y and name_z; name; long_name."""
+    parts = F.array(*(F.get_json_object(text, f"$.{name}_{a}").try_cast("double") for a in "xyz"))
+    listed = [F.from_json(F.get_json_object(text, f"$.{n}"), "array<double>") for n in (name, long_name)]
+    return F.coalesce(F.when(F.forall(parts, lambda v: v.isNotNull()), parts), *listed)
+
+
+def wave_axis(n: Column, start: Column, step: Column, reference: Column) -> Column:
+    """Array of n wavelengths of a linear axis: start is the wavelength of the reference pixel, counted from 1."""
+    return F.transform(F.sequence(F.lit(1), n), lambda i: start + (i - reference) * step)
+
+
+def unwrapped(value: Column, box: float) -> Column:
+    """Coordinate of a periodic box moved to around its corner: the half beyond the middle is taken to the other side."""
+    moved = value + box / 2
+    return F.when(moved > box, moved - box).otherwise(moved) - box / 2

@@ -6,6 +6,7 @@ from starloom.plans import (
     catalog_queries,
     file_queries,
     grid_queries,
+    label_queries,
     model_queries,
     particle_queries,
     pipeline_queries,
@@ -20,6 +21,7 @@ MODULES = (
     particle_queries,
     catalog_queries,
     grid_queries,
+    label_queries,
     stats_queries,
     model_queries,
     file_queries,
