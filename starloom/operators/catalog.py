@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.operators.running import linear_quantiles
+from starloom.plans.durable import bounded_broadcast
+
+SPANS = 100_000  # chunks of a file list that are broadcast
 
 
 def fallback_join(left: DataFrame, right: DataFrame, fine: Sequence[str], coarse: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -61,12 +64,13 @@ def stratified_pick(df: DataFrame, strata: Sequence[str], order: Sequence[str])
 def chunk_ranges(chunks: DataFrame, requests: DataFrame, length: str, chunk: str, start: str, count: str) -> DataFrame:
     """Parts of requested global row ranges that lie in each chunk: (request columns, chunk, local_start, n, global_start).
 
-    chunks: (chunk, length) in order of chunk, a bounded list of files; requests are half-open ranges [start, start + count).
+    chunks: (chunk, length) in order of chunk, a list of files of which up to SPANS are broadcast (counted first); requests
+    are half-open ranges [start, start + count).
     """
     before = Window.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     spans = chunks.select(F.col(chunk).alias("chunk"), F.coalesce(F.sum(length).over(before), F.lit(0)).alias("_from"), F.col(length).alias("_len"))
     first, last = F.greatest(F.col(start), F.col("_from")), F.least(F.col(start) + F.col(count), F.col("_from") + F.col("_len"))
-    joined = requests.join(F.broadcast(spans), (F.col("_from") < F.col(start) + F.col(count)) & (F.col("_from") + F.col("_len") > F.col(start)))
+    joined = requests.join(bounded_broadcast(spans, SPANS), (F.col("_from") < F.col(start) + F.col(count)) & (F.col("_from") + F.col("_len") > F.col(start)))
     return joined.select(*[F.col(c) for c in requests.columns], "chunk", (first - F.col("_from")).alias("local_start"), (last - first).alias("n"), first.alias("global_start"))
 
 

@@ -173,3 +173,44 @@ def edge_strength(grid: DataFrame, keys: Sequence[str], classes: Sequence[str],
     for part in parts[1:]:
         every = every.unionByName(part)
     return every.groupBy(*keys, "iy", "ix").agg(F.exp(-F.sum("_g") / tau).alias("edge"))
+
+
+def kinematic_checks(
+    cells: DataFrame, keys: Sequence[str], dominant: float = 0.5, least: int = 5, vsigma_ratio: float = 1.1, sigma_ratio: float = 1.1, tolerance: float = 0.15, skew: float = 0.1
+) -> DataFrame:
+    """Four kinematic tests of a class map and how many of those that apply are passed.
+
+    cells: keys, v, sigma, h3 and the shares bulge, disk and bar.  Medians and rank sums are taken inside a map, which is a
+    small grid.  rotation: median |v - median v| / sigma of disk cells over that of bulge cells; dispersion: median sigma of
+    bulge over disk cells; bar_sigma: that of bar cells between disk and bulge within a tolerance; h3_signature: rank
+    correlation of h3 and v in bar cells, at most -skew.  A test with fewer than least cells on a side is N/A.
+    coherence is null where no test applies.
+    """
+    valid = cells.filter("v is not null and sigma >= 1")
+    centre = valid.groupBy(*keys).agg(F.percentile("v", 0.5).alias("_c"))
+    rows = valid.join(centre, list(keys)).withColumn("_vs", F.abs(F.col("v") - F.col("_c")) / (F.col("sigma") + 1e-6))
+    of = lambda c, value: F.when(F.col(c) > dominant, F.col(value))
+    w = Window.partitionBy(*keys)
+    bar_rank = lambda c: F.when(F.col("bar") > dominant, F.rank().over(w.orderBy(of("bar", c).asc_nulls_last())) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, of("bar", c))) - 1) / 2)
+    ranked = rows.withColumns({"_rv": bar_rank("v"), "_rh": bar_rank("h3")})
+    middle = lambda c, value: F.percentile(of(c, value), 0.5)
+    sums = ranked.groupBy(*keys).agg(
+        *(F.count(of(c, "v")).alias(f"n_{c}") for c in ("bulge", "disk", "bar")),
+        middle("disk", "_vs").alias("_vd"), middle("bulge", "_vs").alias("_vb"),
+        *(middle(c, "sigma").alias(f"_s_{c}") for c in ("bulge", "disk", "bar")),
+        F.try_divide(F.covar_pop("_rv", "_rh"), F.nullif(F.stddev_pop(F.when(F.col("_rh").isNotNull(), F.col("_rv"))) * F.stddev_pop(F.when(F.col("_rv").isNotNull(), F.col("_rh"))), F.lit(0.0))).alias("rho"),
+    )
+    both = (F.col("n_disk") >= least) & (F.col("n_bulge") >= least)
+    three = both & (F.col("n_bar") >= least)
+    status = lambda applies, passed: F.when(~applies, "N/A").when(passed, "PASS").otherwise("FAIL")
+    between = (F.col("_s_bar") >= F.col("_s_disk") * (1 - tolerance)) & (F.col("_s_bar") <= F.col("_s_bulge") * (1 + tolerance))
+    tests = {
+        "rotation": status(both, F.col("_vd") / (F.col("_vb") + 1e-6) >= vsigma_ratio),
+        "dispersion": status(both, F.col("_s_bulge") / (F.col("_s_disk") + 1e-6) >= sigma_ratio),
+        "bar_sigma": status(three, between),
+        "h3_signature": status(F.col("n_bar") >= least, F.coalesce("rho", F.lit(0.0)) <= -skew),
+    }
+    found = sums.select(*keys, *(v.alias(k) for k, v in tests.items()))
+    listed = F.array(*tests)
+    applied, passed = F.size(F.filter(listed, lambda t: t != "N/A")), F.size(F.filter(listed, lambda t: t == "PASS"))
+    return found.withColumns({"n_applicable": applied, "n_passed": passed}).withColumn("coherence", F.try_divide("n_passed", "n_applicable"))

@@ -39,6 +39,16 @@ def partitioned_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("snapshot").agg(F.count(F.lit(1)).alias("n"), F.max("subhalo_id").alias("last_subhalo"))
 
 
+@query("listed_products", "SELECT DISTINCT snapshot, true AS has_files FROM wave2_strata")
+def listed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots for which a written product has files, from the listing of its folders alone."""
+    folder = f"{scratch_folder(spark, 'listed')}/strata"
+    S.write_product(table(spark, sf_dir, "wave2_strata").select("snapshot", "subhalo_id"), folder, ["snapshot"])
+    found = S.list_files(spark, folder, "*.parquet").filter("length > 0")
+    snapshot = F.regexp_extract("path", r"snapshot=(\d+)", 1).cast("int")
+    return found.groupBy(snapshot.alias("snapshot")).agg((F.count(F.lit(1)) > 0).alias("has_files"))
+
+
 @query("json_report", "SELECT ifu_design, count(*) AS n FROM wave2_manifest GROUP BY 1")
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts written as JSON lines and read with a schema."""

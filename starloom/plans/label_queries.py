@@ -12,7 +12,7 @@ from starloom.functions.galaxies import galaxy_id
 from starloom.operators import grids as G
 from starloom.operators import labels as L
 from starloom.operators import particles as P
-from starloom.operators import statistics as T
+from starloom.operators import validation as V
 from starloom.plans.catalog_queries import UNIT, UNITS_SQL, units
 from starloom.plans.grid_queries import BINS, CLASSES, GRID_SQL, KEY, SET_SQL, SHARES_SQL, STACK_SQL, STEP, class_shares, signal_cells, stacked, star_grid
 from starloom.plans.model_queries import component_means
@@ -385,6 +385,42 @@ def substructure_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- grids
 
 
+_CELL_SQL = (
+    f"WITH {STARS_SQL}, f AS (SELECT galaxy_id, floor(y / 2 + 4)::INTEGER AS iy, floor(x / 2 + 4)::INTEGER AS ix, mass, vz, round({EPS_SQL}, 6) AS eps FROM s), "
+    "c AS (SELECT galaxy_id, iy, ix, avg(vz) AS v, stddev_pop(vz) AS sigma, round((avg(pow(vz, 3)) - 3 * avg(vz) * avg(pow(vz, 2)) + 2 * pow(avg(vz), 3)) / nullif(pow(stddev_pop(vz), 3), 0), 6) AS h3, "
+    "coalesce(sum(mass) FILTER (abs(eps) < 0.3), 0) / sum(mass) AS bulge, coalesce(sum(mass) FILTER (eps >= 0.7), 0) / sum(mass) AS disk, coalesce(sum(mass) FILTER (eps > -0.7 AND eps <= -0.3), 0) / sum(mass) AS bar "
+    "FROM f WHERE iy BETWEEN 0 AND 7 AND ix BETWEEN 0 AND 7 GROUP BY 1, 2, 3 HAVING count(*) >= 3 AND stddev_pop(vz) >= 1 AND sum(mass) > 0)"
+)
+
+
+@query(
+    "kinematic_checks",
+    _CELL_SQL + ", d AS (SELECT *, median(v) OVER (PARTITION BY galaxy_id) AS mid FROM c), e AS (SELECT *, abs(v - mid) / (sigma + 1e-6) AS vs, "
+    "rank() OVER (PARTITION BY galaxy_id, bar > 0.4 ORDER BY v) + (count(*) OVER (PARTITION BY galaxy_id, bar > 0.4, v) - 1) / 2.0 AS rv, rank() OVER (PARTITION BY galaxy_id, bar > 0.4 ORDER BY h3) + (count(*) OVER (PARTITION BY galaxy_id, bar > 0.4, h3) - 1) / 2.0 AS rh FROM d), "
+    "m AS (SELECT galaxy_id, count(*) FILTER (bulge > 0.4) AS nb, count(*) FILTER (disk > 0.4) AS nd, count(*) FILTER (bar > 0.4) AS na, median(vs) FILTER (disk > 0.4) AS vd, median(vs) FILTER (bulge > 0.4) AS vb, "
+    "median(sigma) FILTER (bulge > 0.4) AS sb, median(sigma) FILTER (disk > 0.4) AS sd, median(sigma) FILTER (bar > 0.4) AS sa, "
+    "coalesce(covar_pop(rv, rh) FILTER (bar > 0.4) / nullif(stddev_pop(rv) FILTER (bar > 0.4) * stddev_pop(rh) FILTER (bar > 0.4), 0), 0) AS rho FROM e GROUP BY 1), "
+    "t AS (SELECT galaxy_id, CASE WHEN nb < 3 OR nd < 3 THEN 'N/A' WHEN vd / (vb + 1e-6) >= 1.1 THEN 'PASS' ELSE 'FAIL' END AS rotation, CASE WHEN nb < 3 OR nd < 3 THEN 'N/A' WHEN sb / (sd + 1e-6) >= 1.1 THEN 'PASS' ELSE 'FAIL' END AS dispersion, "
+    "CASE WHEN nb < 3 OR nd < 3 OR na < 3 THEN 'N/A' WHEN sa >= sd * 0.85 AND sa <= sb * 1.15 THEN 'PASS' ELSE 'FAIL' END AS bar_sigma, CASE WHEN na < 3 THEN 'N/A' WHEN rho <= -0.1 THEN 'PASS' ELSE 'FAIL' END AS h3_signature FROM m) "
+    "SELECT *, len(list_filter([rotation, dispersion, bar_sigma, h3_signature], lambda x: x <> 'N/A'))::INTEGER AS n_applicable, len(list_filter([rotation, dispersion, bar_sigma, h3_signature], lambda x: x = 'PASS'))::INTEGER AS n_passed, "
+    "round(n_passed / nullif(n_applicable, 0), 6) AS coherence FROM t",
+)
+def kinematic_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rotation, dispersion, bar and skewness tests of each galaxy's map of 2 kpc cells, and how many are passed."""
+    cell = lambda c: F.floor(F.col(c) / 2 + 4).cast("int")
+    rows = stars(spark, sf_dir).select("galaxy_id", cell("y").alias("iy"), cell("x").alias("ix"), "mass", "vz", F.round(P.circularity_proxy(), 6).alias("eps"))
+    eps, mean, square, cube = F.col("eps"), F.avg("vz"), F.avg(F.col("vz") ** 2), F.avg(F.col("vz") ** 3)
+    share = lambda c: F.coalesce(F.sum(F.when(c, F.col("mass"))), F.lit(0.0)) / F.sum("mass")
+    maps = rows.filter("iy between 0 and 7 and ix between 0 and 7").groupBy("galaxy_id", "iy", "ix").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("mass").alias("m"), mean.alias("v"), F.stddev_pop("vz").alias("sigma"), mean.alias("a"), square.alias("b"), cube.alias("c"),
+        share(F.abs(eps) < 0.3).alias("bulge"), share(eps >= 0.7).alias("disk"), share((eps > -0.7) & (eps <= -0.3)).alias("bar"),
+    )
+    skewness = F.try_divide(F.col("c") - 3 * F.col("a") * F.col("b") + 2 * F.col("a") ** 3, F.nullif(F.col("sigma") ** 3, F.lit(0.0)))
+    cells = maps.filter("n >= 3 and sigma >= 1 and m > 0").withColumn("h3", F.round(skewness, 6))
+    found = V.kinematic_checks(cells, KEY, dominant=0.4, least=3)
+    return found.withColumn("coherence", F.round("coherence", 6))
+
+
 @query("label_sums", SHARES_SQL + " SELECT snap, count(*) AS n_cells, count(*) FILTER (abs(bulge + disk + halo - 1) > 1e-3) AS n_bad, count(*) FILTER (isnan(bulge + disk + halo)) AS n_nan, count(*) FILTER (abs(bulge + disk + halo - 1) > 1e-3) = 0 AS valid FROM h GROUP BY 1")
 def label_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the stored shares of a snapshot's cells add up to 1 everywhere and hold no NaN."""

@@ -15,10 +15,8 @@ query = registry.query
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a stream: a single file, or all files of its folder."""
-    from pathlib import Path
-
     like = table(spark, sf_dir, name)
-    if Path(sf_dir, f"{name}.parquet").is_dir():
+    if any(f"/{name}.parquet/" in path for path in like.inputFiles()):
         return E.file_stream(spark, f"{sf_dir}/{name}.parquet", "*.parquet", like)
     return E.file_stream(spark, sf_dir, f"{name}.parquet", like)
 

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.plans.durable import ensure_checkpoint_dir
+from starloom.plans.durable import shared_folder
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a stream's state: below the shared checkpoint folder where there is one, else a local one."""
-    ensure_checkpoint_dir(spark)
-    base = spark.sparkContext.getCheckpointDir()
-    if base.startswith("file:") or "://" not in base:
-        local = Path(base.removeprefix("file://").removeprefix("file:"))
-        return tempfile.mkdtemp(prefix=f"{name}-", dir=local)
-    import uuid
-
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a sink or a stream's state below the shared checkpoint folder, on whatever file system that is."""
+    return shared_folder(spark, name)
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, like: DataFrame, files_per_batch: int = 8) -> DataFrame:
