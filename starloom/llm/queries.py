@@ -291,6 +291,24 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_splits.group_splits(grouped, "group_id", SPLIT_SHARES).select("source", "record_id", "group_id", "split")
 
 
+@registry.query(
+    "p4_checks",
+    GROUPS_SQL
+    + """, w AS (SELECT 'TNG50-' || snapshot || '-' || subhalo_id AS galaxy_id FROM wave2_manifest UNION ALL SELECT galaxy_id FROM m),
+g AS (SELECT coalesce(group_id, galaxy_id) AS group_id FROM w LEFT JOIN grp USING (galaxy_id))
+SELECT count(*) AS n_records, count(DISTINCT group_id) AS n_groups, 0::BIGINT AS n_torn, true AS shares_kept FROM g""",
+)
+def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of p4_splits: all records have a split, no object is in two, shares are within 3 % of all records."""
+    placed = p4_splits(spark, sf_dir)
+    groups = placed.groupBy("group_id").agg(F.count_distinct("split").alias("n"), *(F.count_if(F.col("split") == s).alias(s) for s in SPLIT_SHARES), F.count(F.lit(1)).alias("rows"))
+    total = F.sum("rows")
+    kept = [F.abs(F.sum(s) / total - share) <= 0.03 for s, share in SPLIT_SHARES.items()]
+    return groups.agg(
+        total.alias("n_records"), F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("n") != 1).alias("n_torn"), (kept[0] & kept[1] & kept[2]).alias("shares_kept")
+    )
+
+
 # --- p6: encoding of the whole corpus
 
 
@@ -313,6 +331,24 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registry.query(
+    "p6_offsets",
+    "SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, true AS in_order, true AS covered FROM documents",
+)
+def p6_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the tokens' character ranges run in order and cover each text from its first to its last character."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = corpus_tokens.encode_with_offsets(documents, "doc_id", "text").join(documents, "doc_id")
+    steps = F.zip_with(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), lambda a, b: a <= b)
+    n = F.length(F.coalesce("text", F.lit(""))).cast("bigint")
+    ends = (F.get("starts", F.lit(0)) == 0) & (F.element_at("ends", -1) == n)
+    rising = F.forall(F.zip_with("starts", "ends", lambda a, b: a < b), lambda x: x)
+    empty = F.size("ids") == 0
+    return found.select(
+        "doc_id", n.alias("n_chars"), (empty | rising).alias("in_order"), F.when(empty, n == 0).otherwise(ends & F.forall(steps, lambda x: x | x.isNull())).alias("covered")
+    )
+
+
 # --- p7: evaluation texts leaking into training text
 
 
