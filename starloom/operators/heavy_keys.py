@@ -131,6 +131,12 @@ def heavy_hashes(sampled: DataFrame, key: str, share: float) -> list[int]:
     return [r["item"] for r in row["top"] if r["item"] is not None and r["count"] >= share * row["n"]]
 
 
+def hashes_of_totals(totals: DataFrame, key: str, rows: str, share: float) -> list[int]:
+    """Hashes of the keys that hold at least share of all rows, from counts per key (key, rows): at most 1/share numbers."""
+    whole = totals.agg(F.sum(rows)).first()[0] or 0
+    return [r[0] for r in totals.filter(F.col(rows) >= whole * share).select(key_hash(key)).collect()] if whole else []
+
+
 def _one_join(a: DataFrame, b: DataFrame, key: str, how: str, condition: str | None, more: Column | None = None) -> DataFrame:
     on = F.expr("`" + key + "` = __sl_right_key" + (f" and ({condition})" if condition else ""))
     return a.join(b.withColumnRenamed(key, "__sl_right_key"), on if more is None else on & more, how).drop("__sl_right_key")
@@ -151,18 +157,18 @@ def join_heavy(left: DataFrame, few: DataFrame, key: str, how: str, condition: s
 
 
 def skew_join(
-    left: DataFrame, right: DataFrame, key: str, how: str = "inner", condition: str | None = None, share: float = 0.01, sampled: DataFrame | None = None
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", condition: str | None = None, share: float = 0.01, hot: list[int] | None = None
 ) -> DataFrame:
     """Join rows with a table of few rows per key although a few keys hold most rows of the left side.
 
-    Heavy keys (at most 1/share) are told from a sample of the left rows, or from sampled, rows with the key drawn by the
-    caller where that is cheaper.  Heavy keys are joined by join_heavy, others by shuffle.  Without heavy keys it is one
+    Heavy keys (at most 1/share) are told from a sample of the left rows, unless their hashes are known (hot).  Heavy keys are joined by join_heavy, others by shuffle.  Without heavy keys it is one
     ordinary join.  how: inner, left, left_semi or left_anti.  condition: a further SQL condition on columns of both
     sides, whose names must differ but for the key.  A null key matches nothing.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"how = {how!r}")
-    hot = heavy_hashes(left.select(key).sample(SAMPLED, seed=1) if sampled is None else sampled, key, share)
+    if hot is None:
+        hot = heavy_hashes(left.select(key).sample(SAMPLED, seed=1), key, share)
     if not hot:
         return _one_join(left, right, key, how, condition)
     is_hot = F.col(key).isNotNull() & key_hash(key).isin(hot)

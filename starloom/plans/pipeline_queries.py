@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions.galaxies import galaxy_id, plain_path
-from starloom.operators.heavy_keys import SAMPLED, heavy_totals, skew_join, skewed_totals, usable
+from starloom.operators.heavy_keys import SAMPLED, hashes_of_totals, heavy_totals, skew_join, skewed_totals, usable
 from starloom.operators.orphans import dated_orphans, orphan_references
+from starloom.plans.durable import stored
 from starloom.plans.registry import Registry
 from starloom.sources.tables import table
 
@@ -79,8 +80,9 @@ PARTICLE_MASS = "CASE WHEN mass >= 0 AND NOT isnan(mass) THEN mass END"
 def p2_mass_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each particle row in its galaxy's mass: per-key totals joined back to the rows."""
     rows = table(spark, sf_dir, "particles").select(galaxy_id(F.col("galaxy_id")).alias("galaxy_id"), "pid", usable(F.col("mass")).alias("mass"))
-    totals = skewed_totals(rows, "galaxy_id", ["mass"]).select("galaxy_id", F.col("mass").alias("total_mass"))
-    joined = skew_join(rows, totals, "galaxy_id")
+    totals = stored(skewed_totals(rows, "galaxy_id", ["mass"]).select("galaxy_id", "n_rows", F.col("mass").alias("total_mass")))
+    hot = hashes_of_totals(totals, "galaxy_id", "n_rows", 0.01)  # the counts are exact, so the join needs no sample
+    joined = skew_join(rows, totals.drop("n_rows"), "galaxy_id", hot=hot)
     return joined.select("galaxy_id", "pid", F.round(F.try_divide("mass", F.nullif("total_mass", F.lit(0.0))), 9).alias("mass_share"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from starloom.functions import scalars as S
 from starloom.operators import catalog as C
 from starloom.operators import grids as G
+from starloom.operators import labels as L
 from starloom.operators import models as M
 from starloom.operators import particles as P
 from starloom.operators import running as R
@@ -355,3 +356,74 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
         spark.createDataFrame([(1, value)], "k int, v double").coalesce(1).write.mode("append").parquet(source)
         E.upsert_totals(E.file_stream(spark, source, "*.parquet", like), sink, state, ["k"], merge)
     assert [tuple(r) for r in E.merged_totals(spark, sink, ["k"]).collect()] == [(1, 2, 7.0)]
+
+
+def test_unique_lookup(spark):
+    rows = spark.createDataFrame([(k,) for k in "abcdefa"], "k string")
+    listed = [("a", 2.0), ("a", 2.0), ("a", None), ("b", 1.0), ("b", 3.0), ("c", None), ("d", -1.0), ("e", float("nan")), ("z", 1.0)]
+    found = L.unique_lookup(rows, spark.createDataFrame(listed, "k string, v double"), ["k"], "v").collect()
+    assert {r["k"]: (r["n_rows"], r["status"], r["v"]) for r in found} == {
+        "a": (3, "ok", 2.0), "b": (2, "several", None), "c": (1, "invalid", None), "d": (1, "invalid", None), "e": (1, "invalid", None), "f": (0, "none", None)
+    }
+    assert L.unique_lookup(rows.limit(0), spark.createDataFrame(listed, "k string, v double"), ["k"], "v").count() == 0
+
+
+def test_priors_and_responsibilities(spark):
+    rows = spark.createDataFrame([(1, 2.0, 6.0), (2, None, -1.0), (3, float("nan"), 0.0), (4, 0.0, 1.0)], "i int, a double, b double")
+    found = {r["i"]: (r["p"], r["q"], r["confidence"]) for r in rows.select("i", *L.priors([F.col("a"), F.col("b")], ["p", "q"], 0.5)).collect()}
+    assert found == {1: (0.25, 0.75, 0.5), 2: (0.5, 0.5, 0.0), 3: (0.5, 0.5, 0.0), 4: (0.0, 1.0, 0.5)}
+    row = rows.select(*(r.alias(f"r{k}") for k, r in enumerate(L.responsibilities(F.lit(1.0), [(0.5, 0.0, 1.0), (0.5, 2.0, 1.0)])))).first()
+    assert (row["r0"], row["r1"]) == (0.5, 0.5)
+
+
+def test_legacy_roles_with_ties(spark):
+    rows = [("far", 0, 0.9, 1.0, 1.0), ("far", 1, 0.1, 0.2, 9.0), ("far", 2, 0.2, 0.8, 1.0), ("near", 0, 0.1, 0.50, 5.0), ("near", 1, 0.9, 0.1, 1.0), ("near", 2, 0.1, 0.52, 2.0), ("same", 0, 0.5, 0.5, 1.0), ("same", 1, 0.5, 0.5, 1.0), ("same", 2, 0.5, 0.5, 1.0)]
+    found = L.legacy_roles(spark.createDataFrame(rows, "k string, n int, s double, e double, r double"), ["k"], "n", "s", "e", "r").collect()
+    assert {r["k"]: (r["bulge"], r["disk"], r["halo"]) for r in found} == {"far": (1, 0, 2), "near": (2, 1, 0), "same": (1, 0, 2)}
+
+
+def test_ladder_fills_with_the_nearest_mean(spark):
+    rows = [("a", 1, 0.9), ("a", 2, -0.9), ("a", 3, 0.5), ("a", 4, -0.2), ("b", 5, 0.1), ("a", 6, None)]
+    df = spark.createDataFrame(rows, "k string, i int, v double")
+    found = {r["i"]: r["class"] for r in L.ladder_classes(df, ["k"], "v", [("high", F.col("v") > 0.8), ("low", F.col("v") < -0.8)]).collect()}
+    assert found == {1: "high", 2: "low", 3: "high", 4: "low", 5: None, 6: None} | {6: found[6]}
+    assert L.ladder_classes(df.limit(0), ["k"], "v", [("high", F.col("v") > 0.8)]).count() == 0
+
+
+def test_tokens_match_the_longest(spark):
+    files = spark.createDataFrame([("/a/TNG-1-2.npz",), ("/a/TNG-1-2.png",), ("/b/TNG-1-2-3.png",), ("/c/none.png",)], "path string")
+    index = L.token_index(files, "path", r"TNG-\d+-\d+(?:-\d+)?", F.when(F.col("path").endswith(".png"), 0).otherwise(1))
+    assert {r["token"]: r["path"] for r in index.collect()} == {"TNG-1-2": "/a/TNG-1-2.png", "TNG-1-2-3": "/b/TNG-1-2-3.png"}
+    rows = spark.createDataFrame([(1, "TNG-1-2", "TNG-1-2-3"), (2, "TNG-1-2", None), (3, None, "TNG-9-9"), (1, "TNG-1-2", "TNG-1-2-3")], "i int, a string, b string")
+    found = L.match_tokens(rows, "i", F.array("a", "b"), index, "path").collect()
+    assert {r["i"]: r["path"] for r in found} == {1: "/b/TNG-1-2-3.png", 2: "/a/TNG-1-2.png"}
+
+
+def test_affine_resample_keeps_the_identity_and_mirrors(spark):
+    grid = spark.createDataFrame([("g", 0, 0, 1.0), ("g", 1, 2, 5.0)], "k string, iy int, ix int, value double")
+    assert sorted(map(tuple, L.affine_resample(grid, ["k"], 3, 1.0, 0.0, flip=False).collect())) == [("g", 0, 0, 1.0), ("g", 1, 2, 5.0)]
+    assert sorted(map(tuple, L.affine_resample(grid, ["k"], 3, 1.0, 0.0, flip=True).collect())) == [("g", 0, 2, 1.0), ("g", 1, 0, 5.0)]
+    assert sum(r["value"] for r in L.affine_resample(grid.filter("iy = 1"), ["k"], 3, 1.0, 0.5, flip=False).collect()) == 5.0
+
+
+def test_line_spread_keeps_constants(spark):
+    df = spark.createDataFrame([("a", k, 7.0) for k in range(20)] + [("b", 3, 2.0)], "s string, k int, v double")
+    found = L.line_spread(df, ["s"], "k", "v", F.lit(1.5), 4).collect()
+    assert len(found) == 21 and all(r["spread"] == pytest.approx(7.0 if r["s"] == "a" else 2.0) for r in found)
+
+
+def test_extinction_over_all_branches(spark):
+    waves = [4.0, 2.2, 0.5495, 0.2, 0.15, 0.11, None]
+    found = [r[0] for r in spark.createDataFrame([(w,) for w in waves], "w double").select(V.extinction(F.col("w"), F.lit(1.0))).collect()]
+    assert found[0] is None and found[-1] is None and found[2] == pytest.approx(1.0, abs=0.01)
+    assert found[1] == pytest.approx(0.114, abs=0.01) and found[3] == pytest.approx(2.84, abs=0.1) and found[4] == pytest.approx(2.66, abs=0.1) and found[5] > 3.5
+
+
+def test_kinematic_checks(spark):
+    cells = [("g", 100.0 + k, 50.0, float(-k), 0.0, 0.9, 0.0) for k in range(6)] + [("g", 0.5 * k, 90.0, 0.0, 0.9, 0.0, 0.0) for k in range(6)]
+    cells += [("g", 10.0 * k, 70.0, float(-k), 0.0, 0.0, 0.9) for k in range(6)] + [("few", 1.0, 50.0, 0.0, 0.9, 0.0, 0.0), ("few", None, 50.0, 0.0, 0.9, 0.0, 0.0)]
+    df = spark.createDataFrame(cells, "k string, v double, sigma double, h3 double, bulge double, disk double, bar double")
+    found = {r["k"]: r for r in V.kinematic_checks(df, ["k"]).collect()}
+    good = found["g"]
+    assert (good["rotation"], good["dispersion"], good["bar_sigma"], good["h3_signature"]) == ("PASS", "PASS", "PASS", "PASS") and good["coherence"] == 1.0
+    assert found["few"]["n_applicable"] == 0 and found["few"]["coherence"] is None and found["few"]["rotation"] == "N/A"

@@ -107,6 +107,14 @@ def test_heavy_hashes(spark):
     assert H.heavy_hashes(df.limit(0), "key", 0.01) == []
 
 
+def test_hashes_of_totals(spark):
+    totals = spark.createDataFrame([("a", 60), ("b", 30), ("c", 10)], "key string, n bigint")
+    assert len(H.hashes_of_totals(totals, "key", "n", 0.3)) == 2 and H.hashes_of_totals(totals.limit(0), "key", "n", 0.3) == []
+    left = spark.createDataFrame([(k, i) for k, n in (("a", 60), ("b", 30), ("d", 10), (None, 3)) for i in range(n)], "key string, i int")
+    hot = H.hashes_of_totals(totals, "key", "n", 0.3)
+    assert rows(H.skew_join(left, totals, "key", "left", hot=hot)) == rows(left.join(totals, "key", "left"))
+
+
 def brute_components(links):
     parent = {}
 
