@@ -337,16 +337,16 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def p6_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the tokens' character ranges run in order and cover each text from its first to its last character."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = corpus_tokens.encode_with_offsets(documents, "doc_id", "text").join(documents, "doc_id")
-    steps = F.zip_with(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), lambda a, b: a <= b)
-    n = F.length(F.coalesce("text", F.lit(""))).cast("bigint")
-    ends = (F.get("starts", F.lit(0)) == 0) & (F.element_at("ends", -1) == n)
-    rising = F.forall(F.zip_with("starts", "ends", lambda a, b: a < b), lambda x: x)
+    n = F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars")
+    documents = table(spark, sf_dir, "documents").select(F.struct("doc_id", n).alias("key"), "text")  # the length travels with the key: no join
+    found = corpus_tokens.encode_with_offsets(documents, "key", "text")
+    within = F.forall(F.zip_with("starts", "ends", lambda a, b: a < b), lambda x: x)
+    later, earlier = F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0)))
+    joined = F.forall(F.zip_with(later, earlier, lambda a, b: a <= b), lambda x: x)
+    ends = (F.get("starts", F.lit(0)) == 0) & (F.element_at("ends", -1) == F.col("key.n_chars"))
     empty = F.size("ids") == 0
-    return found.select(
-        "doc_id", n.alias("n_chars"), (empty | rising).alias("in_order"), F.when(empty, n == 0).otherwise(ends & F.forall(steps, lambda x: x | x.isNull())).alias("covered")
-    )
+    covered = F.when(empty, F.col("key.n_chars") == 0).otherwise(ends & joined)
+    return found.select("key.doc_id", "key.n_chars", (empty | within).alias("in_order"), covered.alias("covered"))
 
 
 # --- p7: evaluation texts leaking into training text
