@@ -115,6 +115,18 @@ def mixture_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "mixture_moments",
+    f"WITH {STARS_SQL}, f AS (SELECT regexp_extract(galaxy_id, '-(\\d+)-', 1) AS snap, {EPS_SQL} AS x FROM s) SELECT snap, 1.0::DOUBLE AS weights, round(avg(x), 6) AS mean, round(avg(x * x), 6) AS square FROM f GROUP BY 1",
+)
+def mixture_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, mean and mean square of the fitted mixtures: a fit keeps the first two moments of its data."""
+    rows = stars(spark, sf_dir).select(F.regexp_extract("galaxy_id", r"-(\d+)-", 1).alias("snap"), P.circularity_proxy().alias("x"))
+    each = M.fit_mixture(rows, ["snap"], "x").select("snap", F.explode(F.arrays_zip("weight", "mean", "variance")).alias("c"))
+    w, m, v = F.col("c.weight"), F.col("c.mean"), F.col("c.variance")
+    return each.groupBy("snap").agg(F.round(F.sum(w), 6).alias("weights"), F.round(F.sum(w * m), 6).alias("mean"), F.round(F.sum(w * (v + m * m)), 6).alias("square"))
+
+
 _OPTIONS = [0.1, 0.3, 0.5, 0.7, 0.9]
 
 

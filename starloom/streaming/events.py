@@ -38,6 +38,22 @@ def first_arrivals(stream: DataFrame, key: str, at: str, late: str) -> DataFrame
     return stream.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late).dropDuplicatesWithinWatermark([key]).drop("_at")
 
 
+def append_new(stream: DataFrame, sink: str, state: str, key: str) -> None:
+    """Rows whose key no earlier batch has stored: each batch is held against the sink, so nothing is kept in a state store.
+
+    Repeated keys may come any time later.  A batch that is run again replaces its own part; null keys are left out.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = batch.filter(F.col(key).isNotNull()).dropDuplicates([key])
+        if number > 0:
+            stored = batch.sparkSession.read.parquet(sink).filter(F.col("batch") < number).select(key)
+            fresh = fresh.join(stored, key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
 def upsert_totals(stream: DataFrame, sink: str, state: str, keys: list[str], merge: Callable[[DataFrame], DataFrame]) -> None:
     """Per-batch partial results appended with their batch number; a batch that is run again replaces its own part."""
 

@@ -358,6 +358,16 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert [tuple(r) for r in E.merged_totals(spark, sink, ["k"]).collect()] == [(1, 2, 7.0)]
 
 
+def test_stream_keeps_the_first_row_of_a_key_however_late(spark, tmp_path):
+    source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    like = spark.createDataFrame([(1, 2.0)], "k int, v double")
+    for rows in ([(1, 1.0), (1, 1.5), (2, 2.0), (None, 0.0)], [(2, 9.0), (3, 3.0)], [(1, 9.0)]):
+        spark.createDataFrame(rows, "k int, v double").coalesce(1).write.mode("append").parquet(source)
+        E.append_new(E.file_stream(spark, source, "*.parquet", like), sink, state, "k")
+    found = {r["k"]: r["v"] for r in spark.read.parquet(sink).collect()}
+    assert found.keys() == {1, 2, 3} and found[1] in (1.0, 1.5) and found[2] == 2.0 and found[3] == 3.0
+
+
 def test_unique_lookup(spark):
     rows = spark.createDataFrame([(k,) for k in "abcdefa"], "k string")
     listed = [("a", 2.0), ("a", 2.0), ("a", None), ("b", 1.0), ("b", 3.0), ("c", None), ("d", -1.0), ("e", float("nan")), ("z", 1.0)]
