@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,20 +79,61 @@ def _trailing(text: str) -> tuple[str, str]:
     return text, ""
 
 
+def _split(text: str) -> list[str]:
+    body, end = _trailing(text)
+    return pieces(body) + [end] if end else pieces(body)
+
+
 def encode_texts(texts: list[str], loaded, cache: dict[str, list[int]]) -> list[list[int]]:
     """Ids of each text; each distinct piece is given to the tokenizers library once per cache."""
     if len(cache) > CACHED_PIECES:
         cache.clear()
-    split = []
-    for text in texts:
-        body, end = _trailing(text)
-        split.append(pieces(body) + [end] if end else pieces(body))
+    split = [_split(text) for text in texts]
     fresh = list({p for parts in split for p in parts if p not in cache})
     for piece, found in zip(fresh, loaded.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
         cache[piece] = found.ids
     return [[i for p in parts for i in cache[p]] for parts in split]
 
 
+class PieceRanges:
+    """Ids and character ranges of the pieces met so far, in flat arrays; at most about CACHED_PIECES of them at a time."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.length, self.count, self.first, self.ids, self.starts, self.ends = (np.array([], dtype=np.int64) for _ in range(6))
+
+    def add(self, fresh: list[str], loaded) -> None:
+        found = loaded.encode_batch(fresh, add_special_tokens=False)
+        counts = np.array([len(e.ids) for e in found], dtype=np.int64)
+        ranges = np.array([o for e in found for o in e.offsets], dtype=np.int64).reshape(-1, 2)
+        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
+        self.count, self.length = np.concatenate([self.count, counts]), np.concatenate([self.length, np.array([*map(len, fresh)], dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, np.array([i for e in found for i in e.ids], dtype=np.int64)])
+        self.starts, self.ends = np.concatenate([self.starts, ranges[:, 0]]), np.concatenate([self.ends, ranges[:, 1]])
+
+
+def encode_ranges(texts: list[str], loaded, cache: PieceRanges) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds, ids, starts, ends) of some texts, token lists end to end: text k has those from bounds[k] to bounds[k + 1].
+
+    The ranges are those of the pieces, moved to where these stand in their text.
+    """
+    if len(cache.number) > CACHED_PIECES:
+        cache.__init__()
+    split = [_split(text) for text in texts]
+    fresh = list(dict.fromkeys(p for parts in split for p in parts if p not in cache.number))
+    if fresh:
+        cache.add(fresh, loaded)
+    piece = np.array([cache.number[p] for parts in split for p in parts], dtype=np.int64)
+    text_ends = np.cumsum([0, *map(len, split)])
+    length, count = cache.length[piece], cache.count[piece]
+    places, tokens = np.concatenate([[0], np.cumsum(length)]), np.concatenate([[0], np.cumsum(count)])
+    in_text = places[:-1] - np.repeat(places[text_ends[:-1]], np.diff(text_ends))
+    at = np.arange(tokens[-1]) + np.repeat(cache.first[piece] - tokens[:-1], count)
+    shift = np.repeat(in_text, count)
+    return tokens[text_ends], cache.ids[at], cache.starts[at] + shift, cache.ends[at] + shift
+
+
 @lru_cache(maxsize=1)
 def byte_table() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary, reversed to bytes.
@@ -147,13 +189,12 @@ def encode_with_offsets(df: DataFrame, key: str, text: str, path: str | None = N
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = _tokenizer(path)
+        loaded, cache = _tokenizer(path), PieceRanges()
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH):
                 part = batch.slice(start, BATCH)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                found = loaded.encode_batch(texts, add_special_tokens=False)
-                arrays = [_lists([e.ids for e in found]), *(_lists([[o[k] for o in e.offsets] for e in found]) for k in (0, 1))]
+                bounds, *flat = encode_ranges([t or "" for t in part.column(1).to_pylist()], loaded, cache)
+                arrays = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(f, pa.int32())) for f in flat]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["key", "ids", "starts", "ends"])
 
     schema = f"key {kind}, ids array<int>, starts array<int>, ends array<int>"

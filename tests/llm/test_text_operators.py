@@ -65,6 +65,17 @@ def test_offsets_cover_the_text(spark):
     assert covered == set(range(len(text)))
 
 
+@pytest.mark.parametrize("size", [1, 3, len(ODD)])
+def test_ranges_are_those_of_the_whole(monkeypatch, size):
+    monkeypatch.setattr(C, "CACHED_PIECES", 20)
+    loaded, cache = C._tokenizer(FILE), C.PieceRanges()
+    for k in range(0, len(ODD), size):
+        bounds, ids, starts, ends = C.encode_ranges(ODD[k : k + size], loaded, cache)
+        for n, text in enumerate(ODD[k : k + size]):
+            whole, part = loaded.encode(text, add_special_tokens=False), slice(bounds[n], bounds[n + 1])
+            assert ids[part].tolist() == whole.ids and list(zip(starts[part].tolist(), ends[part].tolist(), strict=True)) == whole.offsets
+
+
 def test_byte_table_is_a_bijection():
     assert sorted(C.byte_table().values()) == list(range(256))
 
